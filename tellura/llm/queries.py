@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.llm import mixing, quality_rules, sharding, urls
+from tellura.llm import mixing, ngram_join, quality_rules, sharding, urls
 from tellura.llm.common import table
 
 N_SHARDS = 40
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), ngram_join.Likeness(words=3, num=90, den=100))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_rate": "rate", "_shuffle_key": "shuffle_key"}).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality_rules, op7_url_filters, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op7_url_filters, op10_source_mixing)}
