@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.llm import embeddings, mixing, ngram_join, quality_rules, sharding, urls
+from tellura.llm import embeddings, mixing, ngram_join, quality_rules, sharding, substring_dedup, urls
 from tellura.llm.common import table
 
 N_SHARDS = 40
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(table(spark, sf_dir, "documents"), 35)
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -44,4 +48,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_rate": "rate", "_shuffle_key": "shuffle_key"}).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op6_embedding_near_dedup, op7_url_filters, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op4_substring_dedup, op6_embedding_near_dedup, op7_url_filters, op10_source_mixing)}

@@ -142,3 +142,15 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 found AS (SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links FROM embeddings)
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
 """
+
+ORACLES["op4_substring_dedup"] = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS rn, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rn, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT rn, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+rep AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rn, i + o AS j FROM rep, range(35) r(o)),
+pos AS (SELECT rn, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM w),
+kept AS (SELECT rn, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (rn, j) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rn)
+"""
