@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             remove(spark, old)
         paths = paths[-1:]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(links: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix of links the first node of its component."""
+    head = np.arange(len(links))
+    seen = ~links.any(axis=1)
+    for start in np.flatnonzero(~seen):
+        if seen[start]:
+            continue
+        front = np.array([start])
+        seen[start] = True
+        while len(front):
+            near = links[front].any(axis=0) & ~seen
+            head[near] = start
+            seen |= near
+            front = np.flatnonzero(near)
+    return head

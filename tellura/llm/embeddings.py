@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellura.llm.common import materialise
-from tellura.llm.components import connected_components
+from tellura.llm.components import connected_components, forest
 
 #: Vectors of a block at least, and blocks at most: beyond, blocks grow with the table.
 BLOCK_ROWS, MOST_BLOCKS = 4096, 4096
@@ -74,23 +74,6 @@ def linked_matrix(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def forest(links: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric matrix of links the first node of its component."""
-    head = np.arange(len(links))
-    seen = ~links.any(axis=1)
-    for start in np.flatnonzero(~seen):
-        if seen[start]:
-            continue
-        front = np.array([start])
-        seen[start] = True
-        while len(front):
-            near = links[front].any(axis=0) & ~seen
-            head[near] = start
-            seen |= near
-            front = np.flatnonzero(near)
-    return head
-
-
 def _pair_kernel(threshold: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         first, second = (k.as_py() for k in key)

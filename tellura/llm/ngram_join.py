@@ -9,12 +9,12 @@ indexes the segment's subset, a tolerance of 1 also its one-deletion
 neighbourhood. The allocation of tolerances, and how many empty subsets need no
 entry, minimise a cost that counts index entries and expected verifications.
 
-Sets that share an entry form a group. Each group verifies its members against
-one leader only. Two members that both match the leader are in one component
-already; any other similar pair must share an early element of their
-differences from the leader, so these elements make the groups of the next
-round, until no groups remain. No round emits all pairs of a group, and no
-similar pair of different texts is lost.
+Sets that share an entry meet in the star of that entry's leader, the member
+that shares most. A star is compared exactly, as a whole or, if it is large, by
+pairs of blocks: elements that only one member holds drop out, members that
+share too few with all others drop out, and products of the incidence matrix
+count the intersections of the rest. No pairs are emitted, only the component
+of each member, and no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellura.llm.common import WordHashes, as_long, byte_texts, chunks, hash_words, materialise, mix, rolling, small_batches
-from tellura.llm.components import connected_components
+from tellura.llm.components import connected_components, forest
 
 #: Sizes of a band lie within this ratio.
 BAND_RATIO = 1.45
 #: Cost of verifying one element, in index entries.
 VERIFY_COST = 2.0
+#: Sets and elements of a block of a star, about.
+STAR_ROWS, STAR_ELEMENTS = 1500, 2_000_000
+#: Elements in a step of a product.
+COLUMNS = 2048
 
 
 @dataclass(frozen=True)
@@ -230,52 +234,61 @@ def _pack_kernel(like: Likeness, seed: int):
     return run
 
 
-def compare(leader: np.ndarray, member: np.ndarray, like: Likeness) -> tuple[bool, np.ndarray]:
-    """Whether two different sorted sets match, and the first elements of their difference that a partner of ``member`` must share.
-
-    The difference is ordered, elements that the leader lacks first (edits of
-    one copy are rare, what it lost may be lost by many), then by hash.
-    """
-    a, b = len(leader), len(member)
-    both = np.concatenate([leader, member])
-    both.sort()
-    common = both[1:][both[1:] == both[:-1]]
-    linked = like.den * len(common) >= like.num * (a + b - len(common))
-    new = np.setdiff1d(member, common, assume_unique=True)
-    d = a + b - 2 * len(common)
-    if linked:
-        need = (d + max(0, b - a) * (like.den - like.num) // (like.den + like.num) + 1) // 2 + 1
-    else:
-        need = like.differ(b, like.largest(b)) + 1
-    if need > len(new):
-        new = np.concatenate([new, np.setdiff1d(leader, common, assume_unique=True)[: need - len(new)]])
-    return linked, new[:need]
-
-
-def _verify_kernel(like: Likeness):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.asarray(batch.column(c)) for c in ("leader", "sid")]
-            sets = [batch.column(c) for c in ("leader_set", "set")]
-            linked, salted = np.zeros(batch.num_rows, bool), []
-            for i in range(batch.num_rows):
-                one, two = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in sets)
-                linked[i], first = compare(one, two, like)
-                salted.append(as_long(mix(first + mix(ids[0][i : i + 1].view(np.uint64) ^ _D))))
-            sizes = np.fromiter(map(len, salted), np.int32, len(salted))
-            groups = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(salted) if salted else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("sid"), pa.array(linked), groups], ["leader", "sid", "linked", "groups"])
+def matches(sets: list[np.ndarray], like: Likeness) -> np.ndarray:
+    """Matrix of the pairs of different sorted sets that match."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((len(sets), len(sets)), bool)
+    live = np.arange(len(sets))
+    value, owner = np.concatenate(sets), np.repeat(live, n)
+    _, value = np.unique(value, return_inverse=True)
+    while True:  # what matches a set shares enough of its elements
+        held = np.bincount(value, minlength=value.max(initial=0) + 1)
+        shared = held[value] > 1
+        value, owner = value[shared], owner[shared]
+        enough = like.den * np.bincount(owner, minlength=len(sets)) >= like.num * n
+        stay = live[enough[live]]
+        if len(stay) == len(live):
+            break
+        keep = enough[owner]
+        value, owner, live = value[keep], owner[keep], stay
+    if len(live) < 2:
+        return out
+    place = np.zeros(len(sets), np.int64)
+    place[live] = np.arange(len(live))
+    _, column = np.unique(value, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], place[owner[order]]
+    common = np.zeros((len(live), len(live)), np.float32)
+    for first in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(live), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        common += part @ part.T
+    size = n[live]
+    linked = (like.den + like.num) * common.astype(np.int64) >= like.num * (size[:, None] + size)
+    np.fill_diagonal(linked, False)
+    out[np.ix_(live, live)] = linked
+    return out
+
+
+def _star_kernel(like: Likeness):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        sid = np.asarray(group.column("sid").combine_chunks())
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+        head = sid[forest(matches(sets, like))]
+        some = head != sid
+        return pa.table({"a": pa.array(sid[some]), "b": pa.array(head[some])})
 
     return run
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Rows (leader, sid): each member of a group with its leader, the member that is in most groups."""
-    shared = groups.groupBy("gid").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("open").alias("open")).where("low <> high and open").select("gid")
+def _stars(groups: DataFrame) -> DataFrame:
+    """Rows (leader, sid): the members of the stars, leaders included; a leader is in more groups than others."""
+    shared = groups.groupBy("gid").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("gid")
     members = materialise(groups.join(shared, "gid").select("gid", "sid"), "groups")
     weight = members.groupBy("sid").agg(F.count("*").alias("weight"))
     leaders = members.join(weight, "sid").groupBy("gid").agg(F.max_by("sid", F.struct("weight", "sid")).alias("leader"))
-    return members.join(leaders, "gid").where("sid <> leader").select("leader", "sid").distinct()
+    return materialise(members.join(leaders, "gid").select("leader", "sid").distinct(), "stars")
 
 
 def similar_links(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -301,31 +314,18 @@ def similar_links(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -
     number = (F.size(F.filter(spans, lambda e: e <= F.col("n"))) - 1).alias("band")
     filled = {r["band"]: r["count"] for r in classes.select(number).groupBy("band").count().collect()}  # a row for each band: tens
     bands = [allocate(edges[i], edges[i + 1], filled.get(i, 0) + filled.get(i + 1, 0), like) for i in range(len(edges) - 1)]
-    groups = rows.select("_text").mapInArrow(_entry_kernel(like, bands, edges, seed), "gid long, sid long").withColumn("open", F.lit(True))
-    links = []
-    packed = None
-    while True:
-        pairs = materialise(_pairs(groups), "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        if packed is None:
-            named = pairs.select(F.explode(F.array("leader", "sid")).alias("sid")).distinct()
-            wanted = named.join(classes, "sid").select(F.col("_id").alias("_wanted")).distinct()
-            first = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_wanted"]), "left_semi").select("_text")
-            packed = materialise(first.mapInArrow(_pack_kernel(like, seed), "sid long, set binary").dropDuplicates(["sid"]), "packed")
-        checked = (
-            pairs.join(packed, "sid")
-            .join(packed.select(F.col("sid").alias("leader"), F.col("set").alias("leader_set")), "leader")
-            .select("leader", "sid", "leader_set", "set")
-            .mapInArrow(_verify_kernel(like), "leader long, sid long, linked boolean, groups array<bigint>")
-        )
-        checked = materialise(checked, "checked")
-        links.append(checked.where("linked").select(F.col("leader").alias("a"), F.col("sid").alias("b")))
-        groups = checked.select(F.explode("groups").alias("gid"), "sid", (~F.col("linked")).alias("open"))
-    none = sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
-    for x in links:
-        none = none.unionByName(x)
-    return sets.select("_id", "n", "sid"), none
+    groups = rows.select("_text").mapInArrow(_entry_kernel(like, bands, edges, seed), "gid long, sid long")
+    stars = _stars(groups).join(classes.select("sid", "n", "_id"), "sid")
+    wanted = stars.select(F.col("_id").alias("_wanted")).distinct()
+    first = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_wanted"]), "left_semi").select("_text")
+    packed = first.mapInArrow(_pack_kernel(like, seed), "sid long, set binary").dropDuplicates(["sid"])
+    extent = stars.groupBy("leader").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("members") / STAR_ROWS), F.ceil(F.col("elements") / STAR_ELEMENTS)).cast("int").alias("parts")
+    dealt = stars.join(extent.select("leader", parts), "leader").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")))
+    blocks = dealt.withColumn("other", F.explode(others)).select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid")
+    links = blocks.join(packed, "sid").groupBy("leader", "i", "j").applyInArrow(_star_kernel(like), "a long, b long")
+    return sets.select("_id", "n", "sid"), materialise(links, "links")
 
 
 def join_documents(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
