@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a Python kernel takes at a time (a longer text is taken alone).
 CHUNK_BYTES = 2_000_000
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _own_dir: dict[str, str] = {}
 
@@ -75,16 +76,16 @@ def uniform(*parts: Column | str | int) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, each computed once while it is remembered."""
+    """64-bit hashes of words as bytes, each computed once while it is remembered."""
 
     def __init__(self, seed: int = 0):
         super().__init__()
         self.seed = seed
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed).to_bytes(8, "little")
         return value
 
 
@@ -108,9 +109,7 @@ def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
 def hash_words(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all documents in a row, and the number of words of each document."""
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    look = cache.__getitem__
-    flat = [h for w in words for h in map(look, w)]
-    return np.array(flat, np.uint64), counts
+    return np.frombuffer(b"".join(map(cache.__getitem__, chain.from_iterable(words))), np.uint64), counts
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -180,8 +180,19 @@ def _scan_kernel(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
-def _window_kernel(size: int):
-    """Rows (one, two, text, start) of the windows whose fingerprint is among the text's hits; again as in _twice."""
+def _tagged(one: np.ndarray, two: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows (one, two, text), with the complement of ``text`` where a text repeats a window."""
+    order = np.lexsort((two, one, text))
+    one, two, text = one[order], two[order], text[order]
+    again = np.zeros(len(one), bool)
+    again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (text[1:] == text[:-1])
+    second = again.copy()
+    second[1:] &= ~again[:-1]
+    return [np.concatenate([x[~again], x[second]]) for x in (one, two)] + [np.concatenate([text[~again], ~text[second]])]
+
+
+def _window_kernel(size: int, tagged: bool):
+    """Rows (one, two, text, start) of the windows whose fingerprint is among the text's hits, or _tagged() ones."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, press = WordHashes(), zstandard.ZstdDecompressor()
@@ -197,24 +208,13 @@ def _window_kernel(size: int):
                 keep = np.isin(prints.view(np.int64), np.asarray(hits.slice(a, b - a).flatten()))
                 start, doc = start[keep], doc[keep]
                 one, two = rolling(hashes, size), rolling(mix(hashes ^ _SALT), size, base=0xD1342543DE82EF95)
-                arrays = [as_long(one[start]), as_long(two[start]), owner[a:b][doc], (start - begins[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["one", "two", "text", "start"])
+                keys = as_long(one[start]), as_long(two[start]), owner[a:b][doc]
+                arrays = _tagged(*keys) if tagged else [*keys, (start - begins[doc]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["one", "two", "text", "start"][: len(arrays)])
 
     return run
 
 
-def _tag_kernel(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows (one, two, text) of a batch, with the complement of ``text`` where a text repeats a window."""
-    for part in parts:
-        one, two, text = (np.asarray(part.column(c)) for c in ("one", "two", "text"))
-        order = np.lexsort((two, one, text))
-        one, two, text = one[order], two[order], text[order]
-        again = np.zeros(len(one), bool)
-        again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (text[1:] == text[:-1])
-        arrays = [np.concatenate([x[~again], x[again]]) for x in (one, two)] + [np.concatenate([text[~again], ~text[again]])]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["one", "two", "text"])
-
-
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
     edges = np.zeros(n_words + 1, np.int64)
     edges[starts] += 1
@@ -253,25 +253,27 @@ def judge_texts(docs: DataFrame, size: int, text_col: str = "text", batches: int
     spark = docs.sparkSession
     small_batches(spark, 1000)
     index = FingerprintIndex(spark)
-    hits = None
+    hits = prints = None
     for b in range(batches):
-        found = index.add(fingerprints(docs, size, text_col, batches, b))
+        batch = materialise(fingerprints(docs, size, text_col, batches, b), "prints")
+        found = index.add(batch)
         hits = found if hits is None else hits.unionByName(found)
+        prints = batch if prints is None else prints.unionByName(batch)
     hits = materialise(hits.distinct(), "hits")
     index.drop()
-    prints = fingerprints(docs, size, text_col)
-    of_text = prints.join(hits, "print").withColumn("text", F.col("text")).groupBy("text").agg(F.collect_set("print").alias("hits"))
+    of_text = prints.join(hits, "print").groupBy("text").agg(F.collect_set("print").alias("hits"))
     packed = docs.select(F.col(text_col).alias("_text")).mapInArrow(_pack_kernel, "text long, packed binary")
     texts = packed.groupBy("text").agg(F.count("*").alias("copies"), F.first("packed").alias("packed"))
     scanned = texts.join(of_text, "text", "left").mapInArrow(_scan_kernel, "text long, copies long, n_words long, digest string, packed binary, hits array<bigint>")
     scanned = materialise(scanned, "texts")
-    shape = "one long, two long, text long, start int"
-    maybe = scanned.where("hits is not null")
-    rows = maybe.select("text", "packed", "hits").mapInArrow(_window_kernel(size), shape)
-    tagged = rows.select("one", "two", "text").mapInArrow(_tag_kernel, "one long, two long, text long")
+    maybe = scanned.where("hits is not null").select("text", "copies", "n_words", "packed", "hits")
+    keys = "one long, two long, text long"
+    tagged = maybe.select("text", "packed", "hits").mapInArrow(_window_kernel(size, True), keys)
     repeated = tagged.groupBy("one", "two").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("one", "two")
+    repeated = materialise(repeated, "repeated")
     single = maybe.where("copies = 1")
-    starts = single.select("text", "packed", "hits").mapInArrow(_window_kernel(size), shape).join(repeated, ["one", "two"]).groupBy("text").agg(F.collect_list("start").alias("starts"))
+    rows = single.select("text", "packed", "hits").mapInArrow(_window_kernel(size, False), f"{keys}, start int")
+    starts = rows.join(repeated, ["one", "two"]).groupBy("text").agg(F.collect_list("start").alias("starts"))
     cut = single.select("text", "n_words", "packed").join(starts, "text", "left").mapInArrow(_cut_kernel(size), "text long, n_words long, n_removed long, digest string, left string")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= size)
     plain = scanned.where("copies > 1 or hits is null").select(
