@@ -1,5 +1,67 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline: five stages, each over all that the stage before it kept.
+
+Toxic documents go, one document of each group of near copies stays, passages
+that repeat are cut out, sources are mixed to their target shares, and what is
+left is tokenised and packed into sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tellura.llm import mixing, ngram_join, packing, substring_dedup, toxicity
+from tellura.llm.common import materialise, table
+
+#: Documents of at least this score go.
+TOXIC = 0.3
+#: Near copies: five-word shingles, Jaccard similarity of at least 0.8.
+NEAR = ngram_join.Likeness(words=5, num=80, den=100)
+#: Words of a passage that may not stand in two places.
+PASSAGE = 50
+SEQUENCE = 2048
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC; learnt from the labels of those that are there."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("_score") < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the least id; of rows that repeat id and text, one."""
+    judged = materialise(ngram_join.join_documents(docs, NEAR), "near-copies")
+    heads = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi")
+    if judged.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand in two places; a document of which nothing is left goes."""
+    return substring_dedup.remove_repeats(docs, PASSAGE).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, to the sources' target shares, in a global shuffle."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, with their sequences and places there."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("substring_dedup", cut_repeats), ("source_mixing", mix_sources), ("packing", pack)]
+
+#: Classifiers, tokens and packing can't be said in SQL: tests hold the pipeline against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.llm import embeddings, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity, urls
+from tellura.llm import embeddings, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, urls
 from tellura.llm.common import table
 
 N_SHARDS = 40
@@ -33,6 +33,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_words(table(spark, sf_dir, "documents"), 35)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.split_of(F.col("doc_id"), 5) == 0
+    machine = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality_classifier.score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -47,7 +54,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.split_of(F.col("doc_id"), 4) == 2
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -60,4 +67,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_rate": "rate", "_shuffle_key": "shuffle_key"}).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op4_substring_dedup, op6_embedding_near_dedup, op7_url_filters, op8_toxicity, op9_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op4_substring_dedup, op5_quality_classifier, op6_embedding_near_dedup, op7_url_filters, op8_toxicity, op9_best_fit_packing, op10_source_mixing)}

@@ -10,7 +10,7 @@ restored words' weights, learnt from labelled documents, make the score.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -366,16 +366,16 @@ def _score_kernel(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_score`` between 0 and 1, higher where a toxic label is likelier.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those of ``keep``, and ``_score`` between 0 and 1, higher where a toxic label is likelier.
 
     Null and empty texts have a score too, that of no evidence; equal texts
     have equal scores. A column ``_score`` or ``_text`` in ``docs`` is replaced.
     """
     small_batches(docs.sparkSession, 500)
-    rows = docs.drop("_score", "_text")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("_text", F.col(text_col)).mapInArrow(_score_kernel(model), f"{shape}, _score double")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("_score", "_text")]
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(_score_kernel(model), f"{shape}, _score double")
 
 
 def split_of(key: Column, parts: int) -> Column:
