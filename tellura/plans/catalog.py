@@ -1,10 +1,542 @@
-"""Queries over the driver tables, by name, with SQL where it can express them."""
+"""Queries over the driver tables, by name, with DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tellura.functions import channels, kernels
+from tellura.operators import gather, params, regression, spectra, timeops, transfer
+from tellura.operators.calibration import CalibrationData, SensorCalibrator
+from tellura.operators.decimation import DecimatedData, Decimator
+from tellura.operators.windows import Windower, WindowedData
+from tellura.plans import pipeline, tables
+from tellura.plans.config import Configuration
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+IMPEDANCE, TIPPER = transfer.ImpedanceTensor(), transfer.Tipper()
+TO_TIPPER = transfer.TransferFunction(("Ex", "Ey", "Hz"), ("Hx", "Hy"))
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(x: Column | str, digits: int = 6) -> Column:
+    return F.round(x, digits) + 0.0
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: r6(F.col(n), digits) for n in names})
+
+
+# --- SQL of the recordings -------------------------------------------------
+
+_LINE = """li AS (
+  SELECT l_orderkey AS k, avg(l_quantity) AS ex, avg(l_extendedprice) / 977 AS ey, avg(l_discount) * 100 AS hx, avg(l_tax) * 100 AS hy FROM lineitem GROUP BY 1),
+s AS (
+  SELECT c.chan, o_orderkey AS sample, c.value FROM orders LEFT JOIN li ON k = o_orderkey,
+    unnest([{'chan': 'Ex', 'value': ex}, {'chan': 'Ey', 'value': ey}, {'chan': 'Hx', 'value': hx}, {'chan': 'Hy', 'value': hy}, {'chan': 'Hz', 'value': o_totalprice / 9973}]) t(c))"""
+
+
+def _filled(src: str = "s", keys: str = "chan") -> str:
+    return f"""f0 AS (
+  SELECT *, last_value(CASE WHEN value IS NOT NULL THEN sample END IGNORE NULLS) OVER a AS ls, last_value(value IGNORE NULLS) OVER a AS lv,
+    first_value(CASE WHEN value IS NOT NULL THEN sample END IGNORE NULLS) OVER b AS rs, first_value(value IGNORE NULLS) OVER b AS rv
+  FROM {src} WINDOW a AS (PARTITION BY {keys} ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY {keys} ORDER BY sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (
+  SELECT {keys}, sample, CASE WHEN value IS NOT NULL THEN value WHEN ls IS NULL THEN rv WHEN rs IS NULL THEN lv ELSE lv + (rv - lv) * (sample - ls) / (rs - ls) END AS value FROM f0)"""
+
+
+_CLEAN = f"""{_LINE},
+{_filled()},
+clean AS (SELECT chan, sample, value - avg(value) OVER (PARTITION BY chan) AS value FROM filled)"""
+
+# windows of 128 samples, 96 apart; the recording begins 10 s after the reference time, so window 2 is its first, from sample 32 on
+_WINDOWS = f"""{_CLEAN},
+n AS (SELECT count(*) AS n FROM orders),
+win AS (
+  SELECT chan, k + 2 AS global_win, (sample - 32 - 96 * k)::INTEGER AS pos, value
+  FROM (SELECT *, unnest(range(greatest(0, ceil((sample - 159) / 96)::BIGINT), least((SELECT (n - 160) // 96 FROM n), (sample - 32) // 96) + 1)) AS k FROM clean WHERE sample >= 32))"""
+
+
+def _values(x: object) -> str:
+    return ", ".join(f"({i}, {float(v)!r}::DOUBLE)" for i, v in enumerate(x))
+
+
+def _transform(bins: str, src: str = "win", keys: str = "chan, global_win", size: int = 128, name: str = "z") -> str:
+    """SQL of detrended, tapered, unitary transforms at the numbers (bin) in ``bins``."""
+    return f"""taper(pos, w) AS (VALUES {_values(kernels.taper(("kaiser", 14), size))}),
+line AS (SELECT {keys}, regr_slope(value, pos) AS b, regr_intercept(value, pos) AS a FROM {src} GROUP BY ALL),
+flat AS (SELECT {keys}, pos, (value - a - b * pos) * w AS v FROM {src} JOIN line USING ({keys}) JOIN taper USING (pos)),
+{name} AS (
+  SELECT {keys}, bin, sum(v * cos(2 * pi() * bin * pos / {size})) / sqrt({size}) AS re, -sum(v * sin(2 * pi() * bin * pos / {size})) / sqrt({size}) AS im
+  FROM flat, {bins} GROUP BY ALL)"""
+
+
+def _freqs(fs: float = tables.FS, n: int = 5) -> list[float]:
+    return params.eval_freqs(fs, n_freqs=n)
+
+
+def _evals(src: str = "win", keys: str = "chan, global_win", fs: float = tables.FS, size: int = 128) -> str:
+    spots = [(i, f, int(f * size / fs)) for i, f in enumerate(_freqs(fs))]
+    freqs = ", ".join(f"({i}, {f!r}::DOUBLE, {b}, {f * size / fs - b!r}::DOUBLE)" for i, f, b in spots)
+    return f"""freqs(freq_idx, freq, low, part) AS (VALUES {freqs}),
+bins AS (SELECT DISTINCT unnest([low, low + 1]) AS bin FROM freqs),
+{_transform("bins", src, keys, size)},
+evals AS (
+  SELECT {", ".join("x." + k.strip() for k in keys.split(","))}, freq_idx, freq, x.re * (1 - part) + y.re * part AS re, x.im * (1 - part) + y.im * part AS im
+  FROM freqs JOIN z x ON x.bin = low JOIN z y ON y.bin = low + 1 AND {" AND ".join(f"x.{k.strip()} = y.{k.strip()}" for k in keys.split(","))})"""
+
+
+_EVALS = f"{_WINDOWS},\n{_evals()}"
+
+# --- projections and time operators ----------------------------------------
+
+
+@query(f"WITH {_LINE} SELECT sample, round(value, 6) AS value FROM s WHERE chan = 'Hx' AND value IS NOT NULL")
+def proj_get_chan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tables.line(spark, sf_dir).get_chan("Hx").where(~F.isnan("value")).select("sample", "value"), "value")
+
+
+@query(f"WITH {_LINE} SELECT chan, sample, round(CASE WHEN chan = 'Hz' THEN sample / 8.0 ELSE value END, 6) AS value FROM s WHERE chan IN ('Hz', 'Ex') AND (value IS NOT NULL OR chan = 'Hz')")
+def proj_set_chan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = tables.line(spark, sf_dir)
+    done = data.set_chan("Hz", data.get_chan("Hz").withColumn("value", F.col("sample") / 8.0))
+    return rounded(done.df.where(F.col("chan").isin("Hz", "Ex") & ~F.isnan("value")).select("chan", "sample", "value"), "value")
+
+
+@query("""WITH c(chan) AS (VALUES ('Ex'), ('Ey'), ('Hx'), ('Hy'), ('Hz'), ('Bz'), ('E4'), ('T1'))
+SELECT chan, CASE WHEN chan IN ('Ex', 'Ey', 'E1', 'E2', 'E3', 'E4') THEN 'electric' WHEN chan IN ('Hx', 'Hy', 'Hz', 'Bx', 'By', 'Bz') THEN 'magnetic' END AS chan_type,
+  count(DISTINCT event_type) AS n FROM c, events GROUP BY chan""")
+def proj_chan_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(c,) for c in ("Ex", "Ey", "Hx", "Hy", "Hz", "Bz", "E4", "T1")], "chan string")
+    kinds = tables.table(spark, sf_dir, "events").agg(F.countDistinct("event_type").alias("n"))
+    return names.join(F.broadcast(kinds)).select("chan", channels.chan_type_column(F.col("chan")).alias("chan_type"), "n")
+
+
+@query(f"""WITH {_LINE} SELECT chan, sample - 104 AS sample, round(value, 6) AS value FROM s WHERE sample BETWEEN 104 AND 992 AND value IS NOT NULL""")
+def proj_subsection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16.45 s to 72.03 s, samples 103.2 to 992.48."""
+    done = timeops.Subsection("2024-01-01 00:00:16.45", "2024-01-01 00:01:12.03").run(tables.line(spark, sf_dir))
+    return rounded(done.df.where(~F.isnan("value")).select("chan", "sample", "value"), "value")
+
+
+@query(f"WITH {_LINE} SELECT chan, sample, round(value + CASE chan WHEN 'Ex' THEN 3 WHEN 'Hy' THEN -2.5 ELSE 0 END, 6) AS value FROM s WHERE value IS NOT NULL")
+def proj_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(timeops.Add({"Ex": 3, "Hy": -2.5}).run(tables.line(spark, sf_dir)))
+
+
+@query(f"WITH {_LINE} SELECT chan, sample, round(value * CASE chan WHEN 'Ex' THEN 3 WHEN 'Hy' THEN -2.5 ELSE 1 END, 6) AS value FROM s WHERE value IS NOT NULL")
+def proj_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(timeops.Multiply({"Ex": 3, "Hy": -2.5}).run(tables.line(spark, sf_dir)))
+
+
+def _rows(data: timeops.TimeData) -> DataFrame:
+    return rounded(data.df.where(~F.isnan("value")).select("chan", "sample", "value"), "value")
+
+
+@query(f"WITH {_LINE} SELECT sample, '2024-01-01 00:00:10'::TIMESTAMP + to_microseconds(sample * 62500) AS time FROM s WHERE chan = 'Hx'")
+def proj_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = tables.line(spark, sf_dir)
+    return data.timestamps().where(F.col("chan") == "Hx").select("sample", "time")
+
+
+@query("""SELECT 's' || user_id % 3 AS site, count(DISTINCT CASE WHEN day(ts) <= 15 THEN 'm0' ELSE 'm1' END) AS n_meas, min(ts) AS begin_time, max(ts) AS end_time, count(*) AS n FROM events GROUP BY 1""")
+def agg_site_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "events").where("ts is not null")
+    meas = F.when(F.dayofmonth("ts") <= 15, "m0").otherwise("m1")
+    return rows.groupBy(F.concat(F.lit("s"), F.pmod("user_id", F.lit(3))).alias("site")).agg(F.countDistinct(meas).alias("n_meas"), F.min("ts").alias("begin_time"), F.max("ts").alias("end_time"), F.count("*").alias("n"))
+
+
+@query("""WITH spans AS (SELECT o_custkey AS c, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1), own AS (SELECT a, b FROM spans WHERE c = 7)
+SELECT 'c' || c AS site, spans.a AS begin_time, spans.b AS end_time FROM spans, own WHERE c <> 7 AND spans.a <= own.b AND spans.b >= own.a""")
+def concurrent_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose orders' span meets that of customer 7."""
+    orders = tables.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("site"), F.col("o_orderdate").alias("first_time"), F.col("o_orderdate").alias("last_time"))
+    return gather.concurrent(orders, "c7").withColumnsRenamed({"begin": "begin_time", "end": "end_time"})
+
+
+@query(f"WITH {_LINE} SELECT chan, sample, round(value - avg(value) OVER (PARTITION BY chan), 6) AS value FROM s WHERE chan = 'Hz'")
+def agg_remove_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = tables.line(spark, sf_dir)
+    return _rows(timeops.RemoveMean().run(replace(data, df=data.get_chan("Hz"))))
+
+
+@query(f"WITH {_LINE}, {_filled()} SELECT chan, sample, round(value, 6) AS value FROM filled")
+def interp_nans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(timeops.InterpolateNans(block=4096).run(tables.line(spark, sf_dir)))
+
+
+@query(f"""WITH {_CLEAN} SELECT chan, sample, round(value * 0.68 + next * 0.32, 6) AS value
+FROM (SELECT *, lead(value) OVER (PARTITION BY chan ORDER BY sample) AS next FROM clean) WHERE next IS NOT NULL""")
+def shift_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(timeops.ShiftTimestamps(0.02).run(tables.line_clean(spark, sf_dir)))
+
+
+@query(f"""WITH {_CLEAN} SELECT chan, sample, round(CASE WHEN chan = 'Ex' THEN value * value / 7 ELSE value END, 5) AS value FROM clean WHERE chan IN ('Ex', 'Hy')""")
+def apply_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = tables.line_clean(spark, sf_dir)
+    some = replace(data, df=data.df.where(F.col("chan").isin("Ex", "Hy")))
+    return rounded(timeops.ApplyFunction({"Ex": lambda x: x * x / 7}).run(some).df.select("chan", "sample", "value"), "value", digits=5)
+
+
+def _resample_sql() -> str:
+    taps = kernels.resample_taps(1, 4)
+    half = len(taps) // 2
+    return f"""WITH {_CLEAN}, taps(i, h) AS (VALUES {_values(taps)}), m AS (SELECT chan, avg(value) AS mean FROM clean GROUP BY chan), n AS (SELECT ceil(count(*) / 4)::BIGINT AS n FROM orders)
+SELECT chan, o AS sample, round(mean + coalesce(sum((value - mean) * h), 0), 6) AS value
+FROM (SELECT chan, value, sample, unnest(range(greatest(0, ceil((sample - {half}) / 4)::BIGINT), (sample + {half}) // 4 + 1)) AS o FROM clean) JOIN m USING (chan)
+  JOIN taps ON i = o * 4 - sample + {half}, n WHERE o < n.n GROUP BY chan, o, mean"""
+
+
+@query(_resample_sql())
+def resample_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeops.Resample(4.0, block=8192).run(tables.line_clean(spark, sf_dir)).df.select("chan", "sample", "value"), "value")
+
+
+def _filter_query(name: str, process: timeops.TimeProcess) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rows(process.run(tables.line_clean(spark, sf_dir)))
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _process in (
+    ("lowpass", timeops.LowPass(cutoff=2.0)), ("highpass", timeops.HighPass(cutoff=2.0)), ("bandpass", timeops.BandPass(cutoff_low=1.0, cutoff_high=3.0)),
+    ("notch", timeops.Notch(notch=4.0, band=1.0)), ("decimate_iir", timeops.Decimate(6)),
+):
+    _filter_query(_name, _process)
+
+
+@query()
+def lttb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(timeops.lttb(tables.line_clean(spark, sf_dir).df, 1000).select("chan", "sample", "value"), "value")
+
+
+# --- parameters and windows ------------------------------------------------
+
+
+@query("""WITH f AS (SELECT n_nationkey AS fs_idx, 2.0 ** (n_nationkey - 4) AS fs FROM nation), e AS (SELECT *, unnest(range(40)) AS i FROM f),
+q AS (SELECT *, fs / 4 / 2 ** (i / 2) AS freq, i // 5 AS level FROM e),
+d AS (SELECT fs_idx, level, floor(log2(fs / (4 * max(freq))) + 1e-9)::INTEGER AS k FROM q GROUP BY fs_idx, level, fs)
+SELECT fs_idx::BIGINT AS fs_idx, level::INTEGER AS level, i::INTEGER AS eval_idx, round(freq, 9) AS freq, (2 ** k)::INTEGER AS factor FROM q JOIN d USING (fs_idx, level)""")
+def eval_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies and factors for the sampling frequency of each nation: 2 to the power of its key less 4."""
+    out = None
+    for n in tables.table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
+        k = n["n_nationkey"]
+        rows = params.DecimationSetup().run(2.0 ** (k - 4)).to_dataframe(spark).select(F.lit(k).cast("long").alias("fs_idx"), "level", "eval_idx", F.round("freq", 9).alias("freq"), "factor")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), k AS (SELECT unnest(range((n - 160) // 96 + 1)) AS k FROM n)
+SELECT k + 2 AS global_win, k AS local_win, 32 + 96 * k AS from_sample, 159 + 96 * k AS to_sample, '2024-01-01'::TIMESTAMP + to_microseconds((k + 2) * 6000000) AS win_start,
+  '2024-01-01'::TIMESTAMP + to_microseconds((k + 2) * 6000000 + 7937500) AS win_end FROM k""")
+def win_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.table(spark, sf_dir, "orders").count()
+    return params.window_table(spark, params.window_grid(tables.REF, tables.FIRST, n, tables.FS, *tables.window_sizes()), tables.REF, tables.FS)
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> WindowedData:
+    data = tables.line_clean(spark, sf_dir)
+    parameters = tables.SETUP.run(data.fs)
+    return Windower().run(tables.REF, Decimator().run(data, parameters), params.WindowSetup().run(1, [data.fs]))
+
+
+@query(f"WITH {_WINDOWS} SELECT chan, global_win, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, round(sum(value * pos), 4) AS moment FROM win GROUP BY ALL")
+def win_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir).df.groupBy("chan", "global_win").agg(
+        F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), r6(F.sum(F.col("value") * F.col("pos")), 4).alias("moment")
+    )
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), g AS (SELECT n, greatest(64, floor(n / 750)::BIGINT) AS size FROM n), h AS (SELECT n, size, floor(size * 0.25)::BIGINT AS olap FROM g),
+i AS (SELECT *, ceil(10 * 16.0 / (size - olap))::BIGINT AS first_win FROM h), j AS (SELECT *, first_win * (size - olap) - 160 AS first_sample FROM i)
+SELECT size AS win_size, olap AS olap_size, first_win, first_sample, (n - first_sample - size) // (size - olap) + 1 AS n_wins FROM j""")
+def win_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.table(spark, sf_dir, "orders").count()
+    target = params.WindowTarget()
+    grid = target.parameters([n]).grids(tables.REF, tables.FIRST, [n], [tables.FS])[0]
+    return spark.createDataFrame([(grid.win_size, grid.olap_size, grid.first_win, grid.first_sample, grid.n_wins)], "win_size long, olap_size long, first_win long, first_sample long, n_wins long")
+
+
+# --- spectra ---------------------------------------------------------------
+
+
+@query(f"""WITH {_WINDOWS}, bins AS (SELECT unnest(range(65)) AS bin), {_transform("bins")} SELECT chan, global_win, bin::INTEGER AS freq_idx, round(bin / 8, 6) AS freq, round(re, 5) AS re, round(im, 5) AS im FROM z WHERE chan = 'Ex'""")
+def fft_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windowed = _windowed(spark, sf_dir)
+    data = spectra.FourierTransform().run(replace(windowed, df=windowed.df.where(F.col("chan") == "Ex")))
+    return rounded(data.long().select("chan", "global_win", "freq_idx", "freq", r6("re", 5).alias("re"), r6("im", 5).alias("im")), "freq")
+
+
+def _line_evals(spark: SparkSession, sf_dir: str) -> tuple[spectra.SpectraData, params.DecimationParameters]:
+    parameters = tables.SETUP.run(tables.FS)
+    return spectra.FourierTransform().evals(_windowed(spark, sf_dir), parameters), parameters
+
+
+@query(f"WITH {_EVALS} SELECT chan, global_win, freq_idx, round(freq, 6) AS freq, round(re, 5) AS re, round(im, 5) AS im FROM evals")
+def fft_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_evals(spark, sf_dir)[0].long()
+    return rounded(rows.select("chan", "global_win", "freq_idx", "freq", r6("re", 5).alias("re"), r6("im", 5).alias("im")), "freq")
+
+
+@query(f"WITH {_EVALS} SELECT chan, global_win, freq_idx, round(re, 5) AS re, round(im, 5) AS im FROM evals WHERE chan = 'Hy'")
+def fft_evals_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values through whole spectra and interpolation."""
+    windowed = _windowed(spark, sf_dir)
+    data = spectra.FourierTransform().run(replace(windowed, df=windowed.df.where(F.col("chan") == "Hy")))
+    rows = spectra.EvaluationFreqs().run(data, tables.SETUP.run(tables.FS)).long()
+    return rows.select("chan", "global_win", "freq_idx", r6("re", 5).alias("re"), r6("im", 5).alias("im"))
+
+
+@query(f"WITH {_EVALS} SELECT chan, freq_idx, round(avg(sqrt(re * re + im * im)), 6) AS amplitude FROM evals GROUP BY ALL")
+def fft_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.stack(_line_evals(spark, sf_dir)[0]).select("chan", "freq_idx", "amplitude"), "amplitude")
+
+
+_STARTED = f"""WITH {_EVALS}, started AS (SELECT *, time_bucket(INTERVAL '5 minutes', '2024-01-01'::TIMESTAMP + to_microseconds(global_win * 6000000)) AS group_start FROM evals),
+groups AS (SELECT group_start, chan, freq_idx, avg(sqrt(re * re + im * im)) AS amplitude FROM started GROUP BY ALL)"""
+
+
+@query(f"{_STARTED} SELECT group_start, chan, freq_idx, round(amplitude, 6) AS amplitude FROM groups")
+def fft_time_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.stack_by_time(_line_evals(spark, sf_dir)[0], "5 minutes").select("group_start", "chan", "freq_idx", "amplitude"), "amplitude")
+
+
+@query(f"{_STARTED} SELECT group_start, chan, freq_idx, round(log10(amplitude), 6) AS log_amplitude FROM groups")
+def fft_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.section(_line_evals(spark, sf_dir)[0], 0, "5 minutes").select("group_start", "chan", "freq_idx", "log_amplitude"), "log_amplitude")
+
+
+@query(f"{_STARTED} SELECT chan, ceil(min(log10(amplitude)))::BIGINT AS low, floor(max(log10(amplitude)))::BIGINT AS high FROM groups GROUP BY chan")
+def fft_section_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.section_range(spectra.section(_line_evals(spark, sf_dir)[0], 0, "5 minutes"))
+
+
+_UNWRAPPED = """lagged AS (SELECT *, phs - lag(phs) OVER (PARTITION BY {k} ORDER BY freq_idx) AS d FROM polar),
+turned AS (SELECT *, phs + 2 * pi() * sum(CASE WHEN abs(d) > pi() THEN -ceil((d - pi()) / (2 * pi())) ELSE 0 END) OVER (PARTITION BY {k} ORDER BY freq_idx) AS u FROM lagged)"""
+
+
+@query(f"""WITH {_EVALS}, polar AS (SELECT *, atan2(im, re) AS phs FROM evals), {_UNWRAPPED.format(k="chan, global_win")}
+SELECT chan, global_win, freq_idx, round(sqrt(re * re + im * im), 5) AS mag, round(u, 5) AS phs FROM turned""")
+def mag_phs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_evals(spark, sf_dir)[0].mag_phs(True).select("chan", "global_win", "freq_idx", r6("mag", 5).alias("mag"), r6("phs", 5).alias("phs"))
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> spectra.SpectraData:
+    """Embeddings as spectra of 64 frequencies: each vector's numbers times 100, and in reverse order."""
+    v = F.transform("embedding", lambda x: x.cast("double") * 100)
+    rows = tables.table(spark, sf_dir, "embeddings").select(F.lit("e").alias("site"), F.lit("m").alias("meas"), F.lit(0).alias("level"), F.lit("Ex").alias("chan"), F.col("vec_id").alias("global_win"), v.alias("re"), F.reverse(v).alias("im"))
+    return spectra.SpectraData(rows, {0: tuple(float(i) for i in range(64))})
+
+
+def _smooth_sql(weights: np.ndarray) -> str:
+    h = len(weights) // 2
+    at = "CASE WHEN i + o - {h} < 0 THEN -1 - (i + o - {h}) WHEN i + o - {h} > 63 THEN 127 - (i + o - {h}) ELSE i + o - {h} END".format(h=h)
+    return f"""WITH w(o, w) AS (VALUES {_values(weights)}), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 100) AS re FROM embeddings), f AS (SELECT vec_id, re, list_reverse(re) AS im, unnest(range(64)) AS i FROM e)
+SELECT vec_id AS global_win, i::INTEGER AS freq_idx, round(sum(w * re[{at} + 1]), 6) AS re, round(sum(w * im[{at} + 1]), 6) AS im FROM f, w GROUP BY ALL"""
+
+
+@query(_smooth_sql(np.full(kernels.uniform_width(0.1, 64), 1 / kernels.uniform_width(0.1, 64))))
+def smooth_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.SpectraSmootherUniform(0.1).run(_embedded(spark, sf_dir)).long().select("global_win", "freq_idx", "re", "im"), "re", "im")
+
+
+@query(_smooth_sql(kernels.gaussian_weights(1.0)))
+def smooth_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectra.SpectraSmootherGaussian(1.0).run(_embedded(spark, sf_dir)).long().select("global_win", "freq_idx", "re", "im"), "re", "im")
+
+
+_CALIBRATION = CalibrationData("coil", "20", (0.5, 1.0, 2.0, 4.0), (10.0, 11.0, 12.0, 13.0), (0.1, 0.2, 0.4, 0.3))
+
+
+def _calibrate_sql() -> str:
+    cal = ", ".join(f"({f}, {m}, {p})" for f, m, p in zip(_CALIBRATION.frequency, _CALIBRATION.magnitude, _CALIBRATION.phase))
+    return f"""WITH {_EVALS}, cal(f, m, p) AS (VALUES {cal}), seg AS (SELECT f, m, p, lead(f) OVER o AS f2, lead(m) OVER o AS m2, lead(p) OVER o AS p2 FROM cal WINDOW o AS (ORDER BY f)),
+at AS (
+  SELECT freq_idx, CASE WHEN freq <= 0.5 THEN 10 WHEN freq >= 4 THEN 13 ELSE m + (m2 - m) * (freq - f) / (f2 - f) END AS m, CASE WHEN freq <= 0.5 THEN 0.1 WHEN freq >= 4 THEN 0.3 ELSE p + (p2 - p) * (freq - f) / (f2 - f) END AS p
+  FROM freqs LEFT JOIN seg ON freq >= f AND freq < f2)
+SELECT chan, global_win, freq_idx, round(CASE WHEN chan[1] = 'H' THEN (re * cos(p) + im * sin(p)) / m ELSE re END, 5) AS re, round(CASE WHEN chan[1] = 'H' THEN (im * cos(p) - re * sin(p)) / m ELSE im END, 5) AS im FROM evals JOIN at USING (freq_idx)"""
+
+
+@query(_calibrate_sql())
+def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magnetic channels by one coil's calibration; electric ones have none and pass."""
+    done = SensorCalibrator().run(_line_evals(spark, sf_dir)[0], {c: _CALIBRATION for c in ("Hx", "Hy", "Hz")})
+    return done.long().select("chan", "global_win", "freq_idx", r6("re", 5).alias("re"), r6("im", 5).alias("im"))
+
+
+# --- sites -----------------------------------------------------------------
+
+_EVENTS = """h AS (
+  SELECT 's' || user_id % 3 AS site, floor((epoch_us(ts) - 1704067200000000) / 3600000000)::BIGINT AS hour, value,
+    CASE event_type WHEN 'click' THEN 'Hx' WHEN 'error' THEN 'Hy' WHEN 'purchase' THEN 'Hz' WHEN 'signup' THEN 'Ex' WHEN 'view' THEN 'Ey' END AS chan FROM events),
+hm AS (SELECT site, least(hour // 360, 1) AS half, chan, hour, avg(value) AS value FROM h GROUP BY ALL),
+spine AS (SELECT 's' || s AS site, half, chan, half * 360 + i AS hour FROM range(3) a(s), range(2) b(half), (VALUES ('Ex'), ('Ey'), ('Hx'), ('Hy'), ('Hz')) c(chan), range(360) d(i)),
+ev AS (SELECT site, 'm' || half AS meas, chan, hour - half * 360 AS sample, value FROM spine LEFT JOIN hm USING (site, half, chan, hour))"""
+EVENT_WINDOWS = params.WindowParameters(1, 1, (30,), (10,))
+
+
+def _event_windows(spark: SparkSession, sf_dir: str) -> WindowedData:
+    """Windows of 30 hours, 20 apart; the second measurement of site s2 is left out."""
+    data = timeops.InterpolateNans().run(tables.events(spark, sf_dir))
+    keep = tuple(r for r in data.recordings if (r.site, r.meas) != ("s2", "m1"))
+    data = replace(data, df=data.df.where("not (site = 's2' and meas = 'm1')"), recordings=keep)
+    parameters = params.DecimationSetup(n_levels=1, per_level=5, min_samples=30).run(data.fs)
+    return Windower().run("2024-01-01 00:00:00", Decimator().run(data, parameters), EVENT_WINDOWS)
+
+
+_META = """meta(site, meas, first_win, n_wins) AS (VALUES ('s0', 'm0', 0, 17), ('s0', 'm1', 18, 17), ('s1', 'm0', 0, 17), ('s1', 'm1', 18, 17), ('s2', 'm0', 0, 17)),
+sw AS (SELECT site, min(meas) AS meas, global_win FROM (SELECT site, meas, unnest(range(first_win, first_win + n_wins)) AS global_win FROM meta) GROUP BY site, global_win),
+sel AS (SELECT site, meas, global_win FROM sw JOIN (SELECT global_win FROM sw GROUP BY global_win HAVING count(*) = 3) USING (global_win))"""
+
+
+@query(f"WITH {_META} SELECT site, meas, global_win::BIGINT AS global_win FROM sel")
+def select_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters = params.DecimationSetup(n_levels=1, per_level=5, min_samples=30).run(tables.EVENT_FS)
+    selection = gather.Selector().run(_event_windows(spark, sf_dir).metadata(), ["s0", "s1", "s2"], parameters)
+    return selection.df.select("site", "meas", "global_win")
+
+
+@query(f"WITH {_META} SELECT site, global_win::BIGINT AS global_win, meas FROM sw")
+def site_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gather.site_windows(_event_windows(spark, sf_dir).metadata()).select("site", "global_win", "meas")
+
+
+_EVENT_EVALS = f"""WITH {_EVENTS}, {_filled("ev", "site, meas, chan")},
+win AS (
+  SELECT site, meas, chan, k + CASE meas WHEN 'm0' THEN 0 ELSE 18 END AS global_win, (sample - 20 * k)::INTEGER AS pos, value
+  FROM (SELECT *, unnest(range(greatest(0, ceil((sample - 29) / 20)::BIGINT), least(16, sample // 20) + 1)) AS k FROM filled WHERE NOT (site = 's2' AND meas = 'm1'))),
+{_META}, {_evals("win", "site, meas, chan, global_win", tables.EVENT_FS, 30)},
+g AS (SELECT e.* FROM evals e JOIN sel USING (site, meas, global_win))"""
+
+
+def _gathered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, params.DecimationParameters]:
+    """Electric channels of site s0, magnetic ones of s1, cross channels of the remote site s2."""
+    windowed = _event_windows(spark, sf_dir)
+    parameters = params.DecimationSetup(n_levels=1, per_level=5, min_samples=30).run(tables.EVENT_FS)
+    evals = spectra.FourierTransform().evals(windowed, parameters)
+    selection = gather.Selector().run(windowed.metadata(), ["s0", "s1", "s2"], parameters)
+    return gather.ProjectGather().run(selection, evals, IMPEDANCE, gather.Roles("s0", "s1", "s2")), parameters
+
+
+@query(f"""{_EVENT_EVALS}
+SELECT o.freq_idx AS eval_idx, o.global_win::BIGINT AS global_win, round(o.re, 5) AS out_re, round(o.im, 5) AS out_im, round(i.re, 5) AS in_re, round(i.im, 5) AS in_im, round(c.re, 5) AS cross_re, round(c.im, 5) AS cross_im
+FROM g o JOIN g i USING (freq_idx, global_win) JOIN g c USING (freq_idx, global_win) WHERE o.site = 's0' AND o.chan = 'Ey' AND i.site = 's1' AND i.chan = 'Hx' AND c.site = 's2' AND c.chan = 'Hy'""")
+def gather_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _gathered(spark, sf_dir)[0]
+    named = {"out": "Ey", "in": "Hx", "cross": "Hy"}
+    return rows.select("eval_idx", "global_win", *[r6(F.col(f"{role}.{c}_{p}"), 5).alias(f"{role}_{p}") for role, c in named.items() for p in ("re", "im")])
+
+
+# --- regression ------------------------------------------------------------
+
+_CROSS = """p AS (
+  SELECT a.freq_idx AS eval_idx, a.global_win, a.chan, c.chan AS cross_chan, a.re * c.re + a.im * c.im AS re, a.im * c.re - a.re * c.im AS im
+  FROM evals a JOIN evals c USING (freq_idx, global_win) WHERE c.chan IN ('Hx', 'Hy'))"""
+
+
+def _quick(spark: SparkSession, sf_dir: str, tf: transfer.TransferFunction) -> tuple[DataFrame, params.DecimationParameters]:
+    evals, parameters = _line_evals(spark, sf_dir)
+    return gather.QuickGather().run(evals, parameters, tf), parameters
+
+
+@query(f"WITH {_EVALS}, {_CROSS} SELECT eval_idx, global_win, chan, cross_chan, round(re, 4) AS re, round(im, 4) AS im FROM p WHERE chan IN ('Ex', 'Ey')")
+def cross_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regression.cross_powers(_quick(spark, sf_dir, IMPEDANCE)[0], IMPEDANCE).select("eval_idx", "global_win", "cross_chan", F.explode("out").alias("o"))
+    return rows.select("eval_idx", "global_win", "o.chan", "cross_chan", r6("o.re", 4).alias("re"), r6("o.im", 4).alias("im"))
+
+
+@query(f"""WITH {_EVALS}, {_CROSS}, j AS (
+  SELECT o.eval_idx, o.chan AS out_chan, o.global_win, o.cross_chan, o.re, o.im, x.re AS xr, x.im AS xi, y.re AS yr, y.im AS yi
+  FROM p o JOIN p x USING (eval_idx, global_win, cross_chan) JOIN p y USING (eval_idx, global_win, cross_chan) WHERE o.chan = 'Ex' AND x.chan = 'Hx' AND y.chan = 'Hy')
+SELECT eval_idx, out_chan, global_win, cross_chan, 're' AS part, round(re, 4) AS y, round(xr, 4) AS x0, round(-xi, 4) AS x1, round(yr, 4) AS x2, round(-yi, 4) AS x3 FROM j
+UNION ALL SELECT eval_idx, out_chan, global_win, cross_chan, 'im', round(im, 4), round(xi, 4), round(xr, 4), round(yi, 4), round(yr, 4) FROM j""")
+def regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regression.regression_rows(_quick(spark, sf_dir, IMPEDANCE)[0], IMPEDANCE).where(F.col("out_chan") == "Ex")
+    return rows.select("eval_idx", "out_chan", "global_win", "cross_chan", "part", r6("y", 4).alias("y"), *[r6(F.col("x")[i], 4).alias(f"x{i}") for i in range(4)])
+
+
+_OLS = f"""WITH {_EVALS}, {_CROSS}, j AS (
+  SELECT o.eval_idx, o.chan AS out_chan, o.re, o.im, x.re AS xr, x.im AS xi, y.re AS yr, y.im AS yi
+  FROM p o JOIN p x USING (eval_idx, global_win, cross_chan) JOIN p y USING (eval_idx, global_win, cross_chan) WHERE o.chan IN ('Ex', 'Ey', 'Hz') AND x.chan = 'Hx' AND y.chan = 'Hy'),
+q AS (
+  SELECT eval_idx, out_chan, sum(xr * xr + xi * xi) AS a, sum(yr * yr + yi * yi) AS d, sum(xr * yr + xi * yi) AS br, sum(xr * yi - xi * yr) AS bi,
+    sum(xr * re + xi * im) AS ur, sum(xr * im - xi * re) AS ui, sum(yr * re + yi * im) AS vr, sum(yr * im - yi * re) AS vi FROM j GROUP BY ALL),
+ols AS (
+  SELECT eval_idx, out_chan, 'Hx' AS in_chan, (d * ur - (br * vr - bi * vi)) / (a * d - br * br - bi * bi) AS re, (d * ui - (br * vi + bi * vr)) / (a * d - br * br - bi * bi) AS im FROM q
+  UNION ALL SELECT eval_idx, out_chan, 'Hy', (a * vr - (br * ur + bi * ui)) / (a * d - br * br - bi * bi), (a * vi - (br * ui - bi * ur)) / (a * d - br * br - bi * bi) FROM q),
+sol AS (SELECT eval_idx, freq, 1 / freq AS period, out_chan, in_chan, re, im FROM ols JOIN freqs ON freq_idx = eval_idx)"""
+
+
+def _solution(spark: SparkSession, sf_dir: str, solver: regression.Solver | None = None, tf: transfer.TransferFunction = TO_TIPPER) -> transfer.Solution:
+    gathered, parameters = _quick(spark, sf_dir, tf)
+    return (solver or regression.SolverOLS()).run(gathered, tf, parameters)
+
+
+@query(f"{_OLS} SELECT eval_idx, round(period, 6) AS period, out_chan, in_chan, round(re, 6) AS re, round(im, 6) AS im FROM sol")
+def solve_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_solution(spark, sf_dir).df.select("eval_idx", "period", "out_chan", "in_chan", "re", "im"), "period", "re", "im")
+
+
+@query(f"""{_OLS}, polar AS (SELECT *, eval_idx AS freq_idx, atan2(im, re) AS phs FROM sol WHERE out_chan <> 'Hz'), {_UNWRAPPED.format(k="out_chan, in_chan")}
+SELECT eval_idx, out_chan, in_chan, round(re, 6) AS re, round(im, 6) AS im, round(0.2 * period * (re * re + im * im), 6) AS resistivity,
+  round(CASE WHEN out_chan = 'Ex' THEN degrees(u) - 360 * floor(degrees(u) / 360) - 180 ELSE degrees(u) END, 4) AS phase FROM turned""")
+def impedance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples to impedance: gaps filled, mean removed, windows, evaluation frequencies, least squares, resistivity and phase."""
+    solved = _solution(spark, sf_dir, tf=IMPEDANCE).df
+    rows = IMPEDANCE.phase(IMPEDANCE.resistivity(solved))
+    return rounded(rows.select("eval_idx", "out_chan", "in_chan", "re", "im", "resistivity", r6("phase", 4).alias("phase")), "re", "im", "resistivity")
+
+
+@query(f"""{_OLS} SELECT x.eval_idx, round(sqrt(x.re * x.re + y.re * y.re), 6) AS length, round(degrees(atan(y.re / x.re)), 4) AS real_angle, round(degrees(atan(y.im / x.im)), 4) AS imag_angle
+FROM sol x JOIN sol y USING (eval_idx, out_chan) WHERE out_chan = 'Hz' AND x.in_chan = 'Hx' AND y.in_chan = 'Hy'""")
+def tipper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TIPPER.arrows(_solution(spark, sf_dir, tf=TIPPER).df)
+    return rows.select("eval_idx", r6("length").alias("length"), r6("real_angle", 4).alias("real_angle"), r6("imag_angle", 4).alias("imag_angle"))
+
+
+def _solver_query(name: str, solver: regression.Solver) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(_solution(spark, sf_dir, solver, IMPEDANCE).df, "freq", "period", "re", "im")
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _solver in (
+    ("solve_huber", regression.SolverHuber(epsilon=1.0)), ("solve_theilsen", regression.SolverTheilSen(max_subpopulation=500)),
+    ("solve_ransac", regression.SolverRANSAC()), ("solve_wls", regression.SolverWLS()),
+):
+    _solver_query(_name, _solver)
+
+
+@query()
+def impedance_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole default chain, all levels of the pyramid, least squares."""
+    config = Configuration(solver=regression.SolverOLS())
+    solved = pipeline.tf_of(config, tables.line(spark, sf_dir), tables.REF).df
+    return rounded(solved, "freq", "period", "re", "im")
+
+
+@query()
+def impedance_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sites: electric channels, magnetic channels, and a remote reference."""
+    gathered, parameters = _gathered(spark, sf_dir)
+    return rounded(regression.SolverOLS().run(gathered, IMPEDANCE, parameters).df.withColumn("freq", F.col("freq") * 3600).withColumn("period", F.col("period") / 3600), "freq", "period", "re", "im")
