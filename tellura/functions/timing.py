@@ -24,8 +24,14 @@ _TEXT = re.compile(r"(\d{4})-(\d\d)-(\d\d)(?:[ T](\d\d):(\d\d)(?::(\d\d)(?:\.([\
 
 
 def exact(number: float | int | Fraction | str) -> Fraction:
-    """A rational number; floats stand for the shortest decimal that prints them, so 0.1 is one tenth."""
-    return number if isinstance(number, Fraction) else Fraction(str(number))
+    """The rational that a number stands for: a simple fraction if there is one of the same double (1 / 3600), else its decimal."""
+    if isinstance(number, Fraction):
+        return number
+    if isinstance(number, float):
+        simple = Fraction(number).limit_denominator(10**6)
+        if simple and float(simple) == number:
+            return simple
+    return Fraction(str(number))
 
 
 def to_instant(time: str | datetime | Fraction) -> Fraction:

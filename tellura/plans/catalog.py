@@ -369,10 +369,10 @@ _CALIBRATION = CalibrationData("coil", "20", (0.5, 1.0, 2.0, 4.0), (10.0, 11.0,
 def _calibrate_sql() -> str:
     cal = ", ".join(f"({f}, {m}, {p})" for f, m, p in zip(_CALIBRATION.frequency, _CALIBRATION.magnitude, _CALIBRATION.phase))
     return f"""WITH {_EVALS}, cal(f, m, p) AS (VALUES {cal}), seg AS (SELECT f, m, p, lead(f) OVER o AS f2, lead(m) OVER o AS m2, lead(p) OVER o AS p2 FROM cal WINDOW o AS (ORDER BY f)),
-at AS (
+resp AS (
   SELECT freq_idx, CASE WHEN freq <= 0.5 THEN 10 WHEN freq >= 4 THEN 13 ELSE m + (m2 - m) * (freq - f) / (f2 - f) END AS m, CASE WHEN freq <= 0.5 THEN 0.1 WHEN freq >= 4 THEN 0.3 ELSE p + (p2 - p) * (freq - f) / (f2 - f) END AS p
   FROM freqs LEFT JOIN seg ON freq >= f AND freq < f2)
-SELECT chan, global_win, freq_idx, round(CASE WHEN chan[1] = 'H' THEN (re * cos(p) + im * sin(p)) / m ELSE re END, 5) AS re, round(CASE WHEN chan[1] = 'H' THEN (im * cos(p) - re * sin(p)) / m ELSE im END, 5) AS im FROM evals JOIN at USING (freq_idx)"""
+SELECT chan, global_win, freq_idx, round(CASE WHEN chan[1] = 'H' THEN (re * cos(p) + im * sin(p)) / m ELSE re END, 5) AS re, round(CASE WHEN chan[1] = 'H' THEN (im * cos(p) - re * sin(p)) / m ELSE im END, 5) AS im FROM evals JOIN resp USING (freq_idx)"""
 
 
 @query(_calibrate_sql())
