@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import CACHE_WORDS, byte_texts, chunks, materialise, small_batches
+from tellura.llm.common import byte_texts, chunks, materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -39,34 +40,75 @@ class Evolution:
     levels: int = 3
 
 
+#: Words, and pieces of words, whose ids a Python worker remembers before it starts anew.
+CACHE = 600_000
+#: Words of which the pieces can be told without the tokenizer's own pre-tokenisation: ASCII and composed Latin letters.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+# fixed values: the tokenizer file's split pattern, for those letters, and its mark of a word's end
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u024f]+|[0-9]|[^\\sa-z0-9\u00c0-\u024f]+")
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, its ids as bytes, and the signs by which its model knows the bytes of a text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # printable bytes stand for themselves, others for 256 on
+    rest = iter(range(256, 512))
+    signs = [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
+    return whole, [i.to_bytes(4, "little") for i in range(whole.get_vocab_size())], signs
 
 
 class WordIds(dict):
-    """Token ids of words as little-endian 32-bit integers.
+    """Token ids of words (bytes) as little-endian 32-bit integers, found once while they are remembered.
 
-    The tokenizer's pieces never span white space, so a text's ids are those
-    of its words in a row.
+    Pieces never span white space, so a text's ids are those of its words in a
+    row, and a word's ids those of its pieces, which the tokenizer's model
+    gives. Words of other letters, and those that may hold a special token, go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = _tokenizer(path)
+        self.whole, self.ids, self.signs = _tokenizer(path)
+        self.model = self.whole.model
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
             self.clear()
-            new = list(words)
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        core = word.rstrip(SIGNS)
+        if core.isalpha():  # ASCII letters
+            out = self.piece(core.decode().lower())
+        else:
+            text = core.decode("utf-8", "replace")
+            if text.isalpha() and PLAIN.fullmatch(text):
+                out = self.piece(text.lower())
+            else:
+                text, core = word.decode("utf-8", "replace"), word
+                if PLAIN.fullmatch(text) and "<|" not in text:
+                    out = b"".join(map(self.piece, PIECES.findall(text.lower())))
+                else:
+                    out = b"".join([self.ids[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+        if len(core) < len(word):  # signs in a row are one piece
+            out += self.piece(word[len(core) :].decode())
+        self[word] = out
+        return out
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            spelt = piece if piece.isascii() else "".join([self.signs[b] for b in piece.encode()])
+            found = self.pieces[piece] = b"".join([self.ids[t.id] for t in self.model.tokenize(spelt)])
+        return found
+
+    def text(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def _token_kernel(path: str, limit: int):
@@ -75,11 +117,9 @@ def _token_kernel(path: str, limit: int):
         for batch in batches:
             texts = byte_texts(batch.column("_text"))
             for a, b in chunks(texts):
-                words = [t.split() if t else [] for t in texts[a:b]]
-                ids.learn(set().union(*words))
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, w in enumerate(words):
-                    tokens = b"".join(map(ids.__getitem__, w)) + bytes(4)
+                for i, text in enumerate(texts[a:b]):
+                    tokens = ids.text(text or b"") + bytes(4)
                     for s in range(0, len(tokens), 4 * limit):
                         part = tokens[s : s + 4 * limit]
                         row.append(i)
