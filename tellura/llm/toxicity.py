@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import CACHE_WORDS, byte_texts, chunks, mix, small_batches
+from tellura.llm.common import CACHE_WORDS, WordHashes, byte_texts, chunks, hash_words, mix, rolling, small_batches
 
 #: Letters that the character model tells apart; 0 is a word's edge, the last class any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
@@ -43,7 +43,7 @@ LETTER = math.log(len(LETTERS))
 class Fit:
     """Bounds of what is learnt: labelled rows for each label, and words and word beginnings of the model."""
 
-    rows_of_label: int = 4000
+    rows_of_label: int = 3000
     lexicon: int = 60_000
     smooth: float = 3.0
     prefix: int = 4
@@ -209,10 +209,15 @@ class Model:
     prefix: int
 
 
+#: Part of a word beginning's weight that a word has at least.
+OF_START = 0.7
+
+
 def _weigh(word: float | None, start: float | None) -> float:
-    if word is not None:
-        return word
-    return 0.6 * start if start is not None else 0.0
+    """A word's own weight, or part of its beginning's, whichever says more for a toxic label."""
+    if word is None:
+        return OF_START * start if start is not None else 0.0
+    return max(word, OF_START * start) if start is not None and start > 0 else word
 
 
 def features(weights: np.ndarray, n_words: int) -> np.ndarray:
@@ -229,14 +234,16 @@ def _unit_kernel(characters: np.ndarray, prefix: int):
     """Rows (y, family, n, words, starts) of labelled texts; near copies mostly share ``family``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(characters)
+        restorer, cache = Restorer(characters), WordHashes()
         for batch in batches:
             family, n, words, starts = [], [], [], []
             for text in byte_texts(batch.column("_text")):
+                tokens, _ = hash_words([(text or b"").lower().split()], cache)
+                grams = rolling(tokens, 4) if len(tokens) > 3 else mix(tokens)
+                family.append(int(grams.min()) if len(grams) else 0)
                 found = restored_words(text or b"", restorer)
                 pairs = [unit_hashes(w, prefix) for w in found]
                 one = np.array([p[0] for p in pairs], np.uint64)
-                family.append(int(mix(one).min()) if len(one) else 0)
                 n.append(len(one))
                 words.append(one.tobytes())
                 starts.append(np.array([p[1] for p in pairs], np.uint64).tobytes())
@@ -300,7 +307,8 @@ def _learn(characters: np.ndarray, rows: list, totals: dict[int, int], how: Fit)
         du, dd = (mean[1], 0.0) if y[i] else (0.0, mean[0])
         ww, ws = odds(up[w] - du, down[w] - dd), odds(up[s] - du, down[s] - dd)
         known, start = seen[w] - 1 >= 2, (seen[s] - 1 >= 2) & (units[s] != 0)
-        rows_x[i] = features(np.where(known, ww, np.where(start, 0.6 * ws, 0.0)), int(n[i]))
+        part = np.where(start, OF_START * ws, 0.0)
+        rows_x[i] = features(np.where(known, np.where(part > 0, np.maximum(ww, part), ww), part), int(n[i]))
     coefficients = _logistic(rows_x, y, weight)
     w = odds(up, down)
     keep = np.flatnonzero((seen >= 2) & (units != 0))
