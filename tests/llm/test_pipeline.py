@@ -1,0 +1,55 @@
+"""The pipeline on the smallest tables, stage by stage, and the SQL of the queries."""
+
+from collections import Counter
+
+import corpus_pipeline
+import duckdb
+import pytest
+
+from tellura.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.names == docs.schema.names, name
+        rows = out.collect()
+        kept[name] = rows
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "substring_dedup", "source_mixing", "packing"]
+    n = 200
+    assert 0.7 * n < len(kept["toxicity"]) < n
+    sets = []
+    for r in kept["ngram_join"]:  # no pair of five-word shingle sets is left at 0.8 or more
+        w = r["text"].lower().encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    assert not any(a and len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    windows = Counter(tuple(w[i : i + 50]) for w in (r["text"].split() for r in kept["ngram_join"]) for i in range(len(w) - 49))
+    for r in kept["substring_dedup"]:
+        w = r["text"].split()
+        assert not any(windows[tuple(w[i : i + 50])] > 1 for i in range(len(w) - 49))
+    final = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in final}) == len(final)
+    assert Counter(r["doc_id"] for r in final if r["piece"] == 0) == Counter(r["doc_id"] for r in kept["source_mixing"])
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.sql(catalog.ORACLES[name])
+    got = catalog.QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    at = [want.columns.index(c) for c in names]
+    assert sorted(map(str, ([r[i] for i in at] for r in want.fetchall()))) == sorted(str([r[c] for c in names]) for r in got.collect())
