@@ -315,6 +315,7 @@ def similar_links(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -
     filled = {r["band"]: r["count"] for r in classes.select(number).groupBy("band").count().collect()}  # a row for each band: tens
     bands = [allocate(edges[i], edges[i + 1], filled.get(i, 0) + filled.get(i + 1, 0), like) for i in range(len(edges) - 1)]
     groups = rows.select("_text").mapInArrow(_entry_kernel(like, bands, edges, seed), "gid long, sid long")
+    groups = materialise(groups, "entries")  # read twice: to count, and to find the members
     stars = _stars(groups).join(classes.select("sid", "n", "_id"), "sid")
     wanted = stars.select(F.col("_id").alias("_wanted")).distinct()
     first = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_wanted"]), "left_semi").select("_text")
