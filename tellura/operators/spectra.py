@@ -75,7 +75,6 @@ def unwrapped(name: str, order: Window) -> Column:
     """Phases (radians) less the whole turns by which neighbours jump."""
     step = F.col(name) - F.lag(name).over(order)
     turns = F.when(F.abs(step) > math.pi, -F.ceil((step - math.pi) / (2 * math.pi))).otherwise(0)
-    turns = F.when(F.pmod(step + math.pi, F.lit(2 * math.pi)) == 0, F.when(step > 0, turns).otherwise(turns)).otherwise(turns)
     return F.col(name) + F.sum(F.coalesce(turns, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)) * 2 * math.pi
 
 

@@ -535,8 +535,78 @@ def impedance_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solved, "freq", "period", "re", "im")
 
 
-@query()
+_REMOTE = f"""{_EVENT_EVALS},
+p AS (
+  SELECT a.freq_idx AS eval_idx, a.global_win, a.chan, c.chan AS cross_chan, a.re * c.re + a.im * c.im AS re, a.im * c.re - a.re * c.im AS im
+  FROM g a JOIN g c USING (freq_idx, global_win)
+  WHERE c.site = 's2' AND c.chan IN ('Hx', 'Hy') AND ((a.site = 's0' AND a.chan IN ('Ex', 'Ey')) OR (a.site = 's1' AND a.chan IN ('Hx', 'Hy')))),
+{_OLS[_OLS.index("j AS ("):]}"""
+
+
+@query(f"{_REMOTE} SELECT eval_idx, round(freq * 3600, 6) AS freq, round(period / 3600, 6) AS period, out_chan, in_chan, round(re, 6) AS re, round(im, 6) AS im FROM sol")
 def impedance_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sites: electric channels, magnetic channels, and a remote reference."""
     gathered, parameters = _gathered(spark, sf_dir)
     return rounded(regression.SolverOLS().run(gathered, IMPEDANCE, parameters).df.withColumn("freq", F.col("freq") * 3600).withColumn("period", F.col("period") / 3600), "freq", "period", "re", "im")
+
+
+# --- look-ups and counts ---------------------------------------------------
+
+
+@query("SELECT DISTINCT o_totalprice AS fs, replace(printf('%.6f', o_totalprice), '.', '_') AS name FROM orders WHERE o_orderkey < 1000")
+def fs_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.table(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    return orders.select(F.col("o_totalprice").alias("fs"), channels.fs_to_string_column(F.col("o_totalprice")).alias("name")).distinct()
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: printf('%.4f', x::DOUBLE)), ', ') AS text FROM embeddings""")
+def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", channels.array_to_string_column(F.slice("embedding", 1, 4), precision=4).alias("text"))
+
+
+@query(f"WITH {_WINDOWS} SELECT chan, pos, round(value, 6) AS value FROM win WHERE global_win = 9")
+def win_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_windowed(spark, sf_dir).get_global(0, 9).select("chan", "pos", "value"), "value")
+
+
+@query(f"WITH {_EVALS} SELECT chan, global_win, round(re, 5) AS re, round(im, 5) AS im FROM evals WHERE freq_idx = 3 AND chan IN ('Ex', 'Hy')")
+def spectra_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_evals(spark, sf_dir)[0].get_chan("Ex", "Hy").get_freq(0, 3)
+    return rows.select("chan", "global_win", r6("re", 5).alias("re"), r6("im", 5).alias("im"))
+
+
+@query(f"""WITH {_EVALS} SELECT a.freq_idx AS eval_idx, a.global_win, round(a.re, 5) AS out_re, round(b.re, 5) AS in_re, round(b.im, 5) AS cross_im
+FROM evals a JOIN evals b USING (freq_idx, global_win) WHERE a.chan = 'Ex' AND b.chan = 'Hy'""")
+def gather_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quick(spark, sf_dir, IMPEDANCE)[0]
+    return rows.select("eval_idx", "global_win", r6("out.Ex_re", 5).alias("out_re"), r6("in.Hy_re", 5).alias("in_re"), r6("cross.Hy_im", 5).alias("cross_im"))
+
+
+def _selection(spark: SparkSession, sf_dir: str, masks: DataFrame | None = None) -> gather.Selection:
+    parameters = params.DecimationSetup(n_levels=1, per_level=5, min_samples=30).run(tables.EVENT_FS)
+    return gather.Selector().run(_event_windows(spark, sf_dir).metadata(), ["s0", "s1", "s2"], parameters, masks)
+
+
+@query(f"WITH {_META} SELECT 0 AS level, i::INTEGER AS eval_idx, count(*) AS n_wins FROM sel, range(5) r(i) WHERE site = 's0' GROUP BY ALL")
+def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).n_wins()
+
+
+@query(f"WITH {_META} SELECT DISTINCT site, meas FROM sel")
+def selection_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).measurements()
+
+
+@query(f"WITH {_META} SELECT site, meas, global_win::BIGINT AS global_win FROM sel WHERE global_win NOT IN (SELECT hour % 17 FROM (SELECT DISTINCT hour(ts) AS hour FROM events WHERE event_type = 'error' AND value > 5) WHERE hour < 6)")
+def selection_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows left out by a mask made of the hours with large errors."""
+    hours = tables.table(spark, sf_dir, "events").where("event_type = 'error' and value > 5").select(F.hour("ts").alias("h")).distinct().where("h < 6")
+    masks = hours.select(F.lit(0).alias("level"), F.pmod("h", F.lit(17)).cast("long").alias("global_win"))
+    return _selection(spark, sf_dir, masks).df.select("site", "meas", "global_win")
+
+
+@query(f"WITH {_LINE} SELECT chan, count(*) AS n_samples, count(value) AS n_known, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY chan")
+def agg_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.when(~F.isnan("value"), F.col("value"))
+    return tables.line(spark, sf_dir).df.groupBy("chan").agg(F.count("*").alias("n_samples"), F.count(known).alias("n_known"), r6(F.min(known)).alias("low"), r6(F.max(known)).alias("high"))
