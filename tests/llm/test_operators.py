@@ -85,8 +85,18 @@ def test_shards(spark, odd):
     assert sharding.assign_shards(docs.limit(0), 40).count() == 0
 
 
-def test_tree_confines_movement():
-    """Weights of shards: a change moves keys only into or out of the shard that changes, within its subtrees."""
+def test_tree_confines_movement(spark):
+    """A shard that gains weight: a region's gain is drawn from others, and within each subtree that gains, rows move only into the part that gained."""
+    def tree(first):
+        leaf = lambda s: sharding.Node(f"r{s // 4}/k{s // 2}/s{s}", shard=s, own_weight=first if s == 0 else 1.0)
+        return sharding.Node("", tuple(sharding.Node(f"r{r}", tuple(sharding.Node(f"r{r}/k{k}", (leaf(2 * k), leaf(2 * k + 1))) for k in (2 * r, 2 * r + 1))) for r in (0, 1)))
+
+    rows = spark.range(4000).select(sharding.place(F.col("id"), tree(1.0)).alias("a"), sharding.place(F.col("id"), tree(3.0)).alias("b")).collect()
+    moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
+    assert moved and all(b // 4 == 0 for _, b in moved)
+    assert all(b // 2 == 0 for a, b in moved if a // 4 == 0) and all(b == 0 for a, b in moved if a // 2 == 0)
+    share = Counter(r["b"] for r in rows)
+    assert share[0] / 4000 == pytest.approx(0.3, abs=0.04) and share[7] / 4000 == pytest.approx(0.1, abs=0.03)
     small = sharding.layout(3, (1, 1, 3))
     assert [c.shard for c in small.children[0].children[0].children] == [0, 1, 2]
     grown = sharding.layout(41)
