@@ -43,7 +43,7 @@ LETTER = math.log(len(LETTERS))
 class Fit:
     """Bounds of what is learnt: labelled rows for each label, and words and word beginnings of the model."""
 
-    rows_of_label: int = 3000
+    rows_of_label: int = 2500
     lexicon: int = 60_000
     smooth: float = 3.0
     prefix: int = 4
@@ -76,10 +76,9 @@ def _trigram_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(letter | two before) from the counts of all texts; CLASSES cubed numbers whatever the corpus."""
-    counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(_trigram_kernel, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(_trigram_kernel, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(CLASSES**3)
-    for r in counts:
-        n[r["trigram"]] = r["n"]
+    n[np.asarray(counts.column("trigram"))] = np.asarray(counts.column("n"))
     n = n.reshape(CLASSES, CLASSES, CLASSES)
     pairs = n.sum(axis=0)  # (one before, letter)
     low = (pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * CLASSES)
@@ -264,24 +263,23 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc
         part = named.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(how.rows_of_label)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(drawn, "_id").select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, n long, words binary, starts binary").collect()
+    rows = texts.join(drawn, "_id").select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, n long, words binary, starts binary").toArrow()
     return _learn(characters, rows, totals, how)
 
 
-def _learn(characters: np.ndarray, rows: list, totals: dict[int, int], how: Fit) -> Model:
+def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how: Fit) -> Model:
     none = Model(characters, np.empty(0, np.uint64), np.empty(0, np.float32), np.array([-6.0, *[0.0] * (N_FEATURES - 1)]), how.prefix)
-    y = np.array([r["y"] for r in rows], np.int64)
+    y = np.asarray(rows.column("y"), np.int64)
     if len(set(y.tolist())) < 2:
         if len(y) and y[0] == 1:
             none.coefficients[0] = 6.0
         return none
-    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    starts = [np.frombuffer(r["starts"], np.uint64) for r in rows]
-    family = np.array([r["family"] for r in rows], np.int64)
-    n = np.array([r["n"] for r in rows], np.int64)
+    words, starts = ([np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(c)] for c in ("words", "starts"))
+    family, n = np.asarray(rows.column("family")), np.asarray(rows.column("n"))
     weight = np.array([totals[1] / max(1, (y == 1).sum()) if v else totals[0] / max(1, (y == 0).sum()) for v in y])
     units, inverse = np.unique(np.concatenate([*words, *starts]), return_inverse=True)
-    owner = np.concatenate([np.repeat(np.arange(len(y)), n), np.repeat(np.arange(len(y)), n)])
+    inverse = inverse.astype(np.int32)
+    owner = np.tile(np.repeat(np.arange(len(y), dtype=np.int32), n), 2)
     # a family counts once for each label: copies of a document teach no more than one
     _, kin = np.unique(np.stack([family, y]), axis=1, return_inverse=True)
     pair = np.unique(inverse.astype(np.int64) * (kin.max() + 1) + kin[owner])
