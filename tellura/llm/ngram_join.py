@@ -34,9 +34,17 @@ from tellura.llm.components import connected_components, forest
 #: Sizes of a band lie within this ratio.
 BAND_RATIO = 1.45
 #: Cost of verifying one element, in index entries.
-VERIFY_COST = 2.0
+VERIFY_COST = 1.0
+#: Share of n-grams that many documents hold: a segment of one such n-gram says next to nothing.
+COMMON = 0.001
+#: Bits of an entry's key. Keys that fall together by chance cost a verification.
+KEY_BITS = 48
+#: Documents whose sets are compared, up to which their ids are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_IDS = 500_000
 #: Sets and elements of a block of a star, about.
 STAR_ROWS, STAR_ELEMENTS = 1500, 2_000_000
+#: Entries are read twice. They are written down if they are less than this share of the sets' elements, else made again: disk against time.
+WRITTEN_SHARE = 0.2
 #: Elements in a step of a product.
 COLUMNS = 2048
 
@@ -75,20 +83,22 @@ def allocate(low: int, high: int, n_sets: int, like: Likeness, verify: float = V
     differ = like.differ(top, like.largest(top))
     if differ == 0:
         return None
-    best = None
+    best, middle = None, math.sqrt(low * top)
     for loose in sorted({0, 1, 2, (differ + 1) // 4, (differ + 1) // 2}):
-        for spare in sorted({0, 1, 2, *(int((differ + 1) * x) for x in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3))}):
+        for spare in sorted({0, 1, 2, *(int((differ + 1) * x) for x in (0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3))}):
             segments = differ + 1 + spare - loose
             if segments < max(1, loose):
                 continue
-            per = low / segments
+            per = middle / segments
             empty = math.exp(-per)
             mean = empty * (segments - loose)
-            # share of sets with more empty segments than are spared (normal approximation, a step beyond)
-            above = 1.0 if mean > spare else min(1.0, 2 * math.exp(-((spare + 0.5 - mean) ** 2) / (2 * max(mean, 0.05))))
+            # share of sets with more empty segments than are spared, by the normal law of occupancy
+            spread = math.sqrt(max(mean * (1 - (1 + per) * empty), 0.05))
+            above = 0.5 * math.erfc((spare + 0.5 - mean) / spread / math.sqrt(2))
             entries = segments - loose + loose * (2 + per)
-            groups = above * max(mean, spare + 1) + loose * (1 + per) * empty  # entries that say next to nothing
-            cost = entries + (verify * low * groups if n_sets > 1 else 0)
+            # entries that say next to nothing
+            groups = above * max(mean, spare + 1) + (segments - loose) * per * empty * COMMON + loose * (1 + per) * empty
+            cost = entries + (verify * middle * groups if n_sets > 1 else 0)
             if best is None or cost < best[0]:
                 best = cost, Band(low, high, segments, loose, spare)
     return best[1]
@@ -215,6 +225,7 @@ def _entry_kernel(like: Likeness, bands: list[Band | None], edges: list[int], se
                 for which in probes(counts, bands, edges, like):
                     keys, rows = entries(values, counts, bands, which)
                     if len(keys):
+                        keys >>= np.uint64(64 - KEY_BITS)
                         yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(as_long(sid[rows]))], ["gid", "sid"])
 
     return run
@@ -283,8 +294,12 @@ def _star_kernel(like: Likeness):
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """Rows (leader, sid): the members of the stars, leaders included; a leader is in more groups than others."""
-    shared = groups.groupBy("gid").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("gid")
+    """Rows (leader, sid): the members of the stars, leaders included; a leader is in more groups than others.
+
+    Counts alone decide which entries are read again, as they are narrow; a
+    group that holds one set several times is a star of its leader only.
+    """
+    shared = groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
     members = materialise(groups.join(shared, "gid").select("gid", "sid"), "groups")
     weight = members.groupBy("sid").agg(F.count("*").alias("weight"))
     leaders = members.join(weight, "sid").groupBy("gid").agg(F.max_by("sid", F.struct("weight", "sid")).alias("leader"))
@@ -315,9 +330,15 @@ def similar_links(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -
     filled = {r["band"]: r["count"] for r in classes.select(number).groupBy("band").count().collect()}  # a row for each band: tens
     bands = [allocate(edges[i], edges[i + 1], filled.get(i, 0) + filled.get(i + 1, 0), like) for i in range(len(edges) - 1)]
     groups = rows.select("_text").mapInArrow(_entry_kernel(like, bands, edges, seed), "gid long, sid long")
-    groups = materialise(groups, "entries")  # read twice: to count, and to find the members
-    stars = _stars(groups).join(classes.select("sid", "n", "_id"), "sid")
-    wanted = stars.select(F.col("_id").alias("_wanted")).distinct()
+    share = sum(filled.get(i, 0) * (b.segments + b.loose * b.low / b.segments) for i, b in enumerate(bands) if b) / max(1, sum(filled.get(i, 0) * edges[i] for i in range(len(bands))))
+    if share < WRITTEN_SHARE:
+        groups = materialise(groups, "entries")
+    stars = _stars(groups)
+    more = stars.groupBy("leader").agg(F.count("*").alias("_n")).where("_n > 1").select("leader")
+    stars = stars.join(more, "leader").join(classes.select("sid", "n", "_id"), "sid")
+    wanted = materialise(stars.select(F.col("_id").alias("_wanted")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     first = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_wanted"]), "left_semi").select("_text")
     packed = first.mapInArrow(_pack_kernel(like, seed), "sid long, set binary").dropDuplicates(["sid"])
     extent = stars.groupBy("leader").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
