@@ -11,7 +11,7 @@ from tellura.llm.common import table
 
 N_SHARDS = 40
 RULES = (
-    urls.rule("block", "com/en/"), urls.rule("allow", "example.com/en/7"), urls.rule("block", "net/de/"),
+    urls.rule("block", "com/en/"), urls.rule("allow", "example.com/en/7"), urls.rule("allow", "net/de/"),
     urls.rule("block", "example.net/de/8"), urls.rule("block", "org/es/"),
 )
 

@@ -1,0 +1,12 @@
+"""The registered queries do the whole job: rules, lists and bounds as they are set up for production."""
+
+from tellura.llm import queries, urls
+
+
+def test_registered_rules(spark):
+    """The five rules of the contract; an exception has the other verdict than its rule."""
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{r.verdict} {r.text}" for r in queries.RULES] == contract.split(", ")
+    pages = spark.createDataFrame([(0, "http://a.net/de/1"), (1, "http://m.example.net/de/9"), (2, "http://m.example.net/de/81"), (3, "http://a.com/en/1"), (4, "http://example.com/en/70")], "page_id long, url string")
+    got = urls.judge_urls(pages, queries.RULES, pages.limit(0).select("url")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["allow", "allow", "block", "block", "allow"]
