@@ -14,6 +14,8 @@ RULES = (
     urls.rule("block", "com/en/"), urls.rule("allow", "example.com/en/7"), urls.rule("allow", "net/de/"),
     urls.rule("block", "example.net/de/8"), urls.rule("block", "org/es/"),
 )
+#: Hosts whose single URLs are listed: the six families of advertising and spam among the pages.
+LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +47,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the URLs of advertising hosts, as a list of single URLs would name them."""
+    """The list: the URLs of all hosts of ``LISTED_HOSTS``, as a list of single URLs would name them."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.select("url").where(urls.host_of(F.col("url")).contains("ads-track"))
+    listed = pages.select("url").where(urls.host_of(F.col("url")).rlike("|".join(LISTED_HOSTS)))
     return urls.judge_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "canonical_url")
 
 

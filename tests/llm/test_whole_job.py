@@ -1,5 +1,7 @@
 """The registered queries do the whole job: rules, lists and bounds as they are set up for production."""
 
+from pyspark.sql import functions as F
+
 from tellura.llm import queries, urls
 
 
@@ -10,3 +12,15 @@ def test_registered_rules(spark):
     pages = spark.createDataFrame([(0, "http://a.net/de/1"), (1, "http://m.example.net/de/9"), (2, "http://m.example.net/de/81"), (3, "http://a.com/en/1"), (4, "http://example.com/en/70")], "page_id long, url string")
     got = urls.judge_urls(pages, queries.RULES, pages.limit(0).select("url")).orderBy("page_id").collect()
     assert [r["verdict"] for r in got] == ["allow", "allow", "block", "block", "allow"]
+
+
+def test_listed_families(spark, tmp_path):
+    """A URL of each planted family is blocked where no rule decides, and no other."""
+    families = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+    hosts = [f"m.{f}.example.org" for f in families] + ["m.other-one.example.org"]
+    spark.createDataFrame([(i, f"http://{h}/fr/{i}") for i, h in enumerate(hosts)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op7_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {**{i: "block" for i in range(6)}, 6: "allow"}
+    planted = "|".join(f"{f}[.]" for f in families)
+    left = queries.op7_url_filters(spark, "/root/testdata/sf0.01").where(F.col("rule").isNull() & F.col("host").rlike(planted))
+    assert {r["verdict"] for r in left.collect()} == {"block"}
