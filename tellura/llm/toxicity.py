@@ -1,16 +1,17 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Tokens with digits or symbols among letters, stretched letters, and letters
+Tokens with digits or symbols among letters, repeated letters, and letters
 with spaces between them are read as a lattice: a sign may stand for a letter,
 for nothing, or repeat the letter before it. Viterbi decoding finds the
-likeliest letters under a character trigram model of the whole corpus. The
-restored words' weights, learnt from labelled documents, make the score.
+likeliest letters under a character trigram model of the whole corpus. A token
+that may be plain keeps its plain reading beside the decoded one. The restored
+words' weights, learnt from labelled documents, make the score.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,15 +104,9 @@ def bare(token: str) -> str:
 
 
 def suspicious(core: str) -> bool:
-    """Whether a token may hide a word: it has letters, and signs among them or letters stretched."""
+    """Whether a token may hide a word: it has letters, and signs among them or a letter repeated."""
     if core.isalpha():
-        doubles, run = 0, 1
-        for p, c in zip(core, core[1:]):
-            run = run + 1 if c == p else 1
-            doubles += run == 2
-            if run > 2:
-                return True
-        return doubles > 2
+        return any(c == p for p, c in zip(core, core[1:]))
     return any(c.isalpha() for c in core)
 
 
@@ -142,19 +137,33 @@ def decode(core: str, model: np.ndarray) -> str:
     return max(((score + float(model[p2, p1, 0]), word) for (p2, p1), (score, word) in paths.items()), key=lambda x: x[0])[1]
 
 
-class Restorer(dict):
+def readings(core: str, model: np.ndarray) -> tuple[str, ...]:
+    """The likeliest word behind ``core``, then the same without repeated letters and, of letters only, ``core`` as it stands."""
+    if not core or not suspicious(core):
+        return (core,)
+    word = decode(core, model)
+    single = "".join(c for p, c in zip(" " + word, word) if c != p)
+    return tuple(dict.fromkeys((word, single, core) if core.isalpha() else (word, single)))
+
+
+class Restorer:
     """Restored forms of tokens (bytes, lower case), each decoded once while it is remembered."""
 
     def __init__(self, model: np.ndarray):
-        super().__init__()
         self.model = model
+        self.known: dict[bytes, tuple[str, ...]] = {}
 
-    def __missing__(self, token: bytes) -> str:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        core = bare(token.decode("utf-8", "replace").lower())
-        word = self[token] = decode(core, self.model) if suspicious(core) else core
-        return word
+    def readings(self, token: bytes) -> tuple[str, ...]:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            found = self.known[token] = readings(bare(token.decode("utf-8", "replace").lower()), self.model)
+        return found
+
+    def __getitem__(self, token: bytes) -> str:
+        """The likeliest."""
+        return self.readings(token)[0]
 
 
 def spaced(tokens: list[bytes]) -> list[str]:
@@ -178,17 +187,26 @@ def spaced(tokens: list[bytes]) -> list[str]:
     return out
 
 
-def restored_words(text: bytes, restorer: Restorer) -> list[str]:
-    """Different restored words of a text; of letters that were spaced out, every stretch that may be a word."""
-    tokens = text.lower().split()
-    words = set(map(restorer.__getitem__, set(tokens)))
+def run_readings(tokens: list[bytes], model: np.ndarray) -> list[str]:
+    """Readings of letters that were spaced out, whole runs; runs without letters need three different signs."""
+    out: dict[str, None] = {}
     for run in spaced(tokens):
-        if len(set(run)) < 3:
-            continue
-        whole = decode(run, restorer.model)
-        words.update(whole[i : i + n] for n in range(4, 13) for i in range(len(whole) - n + 1))
+        if len(set(run)) > 2 or any(c.isalpha() for c in run):
+            out.update(dict.fromkeys(readings(run, model) if any(c.isalpha() for c in run) else (decode(run, model),)))
+    out.pop("", None)
+    return list(out)
+
+
+def stretches(word: str, lengths: Iterable[int]) -> set[str]:
+    """The word and its parts of the given lengths."""
+    return {word, *(word[j : j + k] for k in lengths for j in range(len(word) - k + 1))}
+
+
+def restored_words(tokens: list[bytes], restorer: Restorer) -> set[str]:
+    """Different readings of a text's tokens."""
+    words = {w for token in set(tokens) for w in restorer.readings(token)}
     words.discard("")
-    return list(words)
+    return words
 
 
 # --- weights and score ---------------------------------------------------
@@ -206,6 +224,8 @@ class Model:
     weights: np.ndarray
     coefficients: np.ndarray
     prefix: int
+    #: Of the words among ``units``.
+    lengths: tuple[int, ...] = ()
 
 
 #: Part of a word beginning's weight that a word has at least.
@@ -230,24 +250,26 @@ N_FEATURES = 6
 
 
 def _unit_kernel(characters: np.ndarray, prefix: int):
-    """Rows (y, family, n, words, starts) of labelled texts; near copies mostly share ``family``."""
+    """Rows (y, family, words, starts, sizes, runs) of labelled texts; near copies mostly share ``family``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, cache = Restorer(characters), WordHashes()
         for batch in batches:
-            family, n, words, starts = [], [], [], []
+            family, words, starts, sizes, runs = [], [], [], [], []
             for text in byte_texts(batch.column("_text")):
-                tokens, _ = hash_words([(text or b"").lower().split()], cache)
+                split = (text or b"").lower().split()
+                tokens, _ = hash_words([split], cache)
                 grams = rolling(tokens, 4) if len(tokens) > 3 else mix(tokens)
                 family.append(int(grams.min()) if len(grams) else 0)
-                found = restored_words(text or b"", restorer)
+                whole = run_readings(split, characters)
+                found = list(restored_words(split, restorer).union(whole))
                 pairs = [unit_hashes(w, prefix) for w in found]
-                one = np.array([p[0] for p in pairs], np.uint64)
-                n.append(len(one))
-                words.append(one.tobytes())
+                words.append(np.array([p[0] for p in pairs], np.uint64).tobytes())
                 starts.append(np.array([p[1] for p in pairs], np.uint64).tobytes())
-            arrays = [batch.column("y"), pa.array(np.array(family, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["y", "family", "n", "words", "starts"])
+                sizes.append(np.array([len(w) for w in found], np.int32).tobytes())
+                runs.append(whole)
+            arrays = [batch.column("y"), pa.array(np.array(family, np.uint64).view(np.int64)), *[pa.array(v, pa.binary()) for v in (words, starts, sizes)], pa.array(runs, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["y", "family", "words", "starts", "sizes", "runs"])
 
     return run
 
@@ -263,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc
         part = named.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(how.rows_of_label)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(drawn, "_id").select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, n long, words binary, starts binary").toArrow()
+    rows = texts.join(drawn, "_id").select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, words binary, starts binary, sizes binary, runs array<string>").toArrow()
     return _learn(characters, rows, totals, how)
 
 
@@ -274,8 +296,9 @@ def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how:
         if len(y) and y[0] == 1:
             none.coefficients[0] = 6.0
         return none
-    words, starts = ([np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(c)] for c in ("words", "starts"))
-    family, n = np.asarray(rows.column("family")), np.asarray(rows.column("n"))
+    words, starts, sizes = ([np.frombuffer(v.as_buffer(), t) for v in rows.column(c)] for c, t in (("words", np.uint64), ("starts", np.uint64), ("sizes", np.int32)))
+    _add_stretches(words, starts, sizes, rows.column("runs"), how.prefix)
+    family, n = np.asarray(rows.column("family")), np.array([len(w) for w in words])
     weight = np.array([totals[1] / max(1, (y == 1).sum()) if v else totals[0] / max(1, (y == 0).sum()) for v in y])
     units, inverse = np.unique(np.concatenate([*words, *starts]), return_inverse=True)
     inverse = inverse.astype(np.int32)
@@ -311,7 +334,21 @@ def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how:
     w = odds(up, down)
     keep = np.flatnonzero((seen >= 2) & (units != 0))
     keep = keep[np.argsort(-np.abs(w[keep]) * np.sqrt(seen[keep]), kind="stable")][: how.lexicon]
-    return Model(characters, units[keep], w[keep].astype(np.float32), coefficients, how.prefix)
+    size = np.zeros(len(units), np.int32)
+    size[inverse[:half]] = np.concatenate(sizes)
+    return Model(characters, units[keep], w[keep].astype(np.float32), coefficients, how.prefix, tuple(np.setdiff1d(size[keep], [0]).tolist()))
+
+
+def _add_stretches(words: list[np.ndarray], starts: list[np.ndarray], sizes: list[np.ndarray], runs: pa.ChunkedArray, prefix: int) -> None:
+    """To the words of each text the parts of its runs, of every length that a word of any of the texts has."""
+    lengths = np.unique(np.concatenate(sizes)).tolist()
+    for i, of_text in enumerate(runs.to_pylist()):
+        found = {s for run in of_text for s in stretches(run, lengths)}
+        pairs = {unit_hashes(s, prefix): len(s) for s in found}
+        known = set(words[i].tolist()) if pairs else ()
+        new = [(one, two, size) for (one, two), size in pairs.items() if one not in known]
+        if new:
+            words[i], starts[i], sizes[i] = (np.concatenate([old[i], np.array(v, old[i].dtype)]) for old, v in zip((words, starts, sizes), zip(*new)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -335,7 +372,7 @@ class _Weights(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.restorer, self.prefix = Restorer(model.characters), model.prefix
+        self.characters, self.prefix = model.characters, model.prefix
         self.lexicon = dict(zip(model.units.tolist(), model.weights.tolist()))
 
     def of(self, word: str) -> float:
@@ -345,8 +382,7 @@ class _Weights(dict):
     def __missing__(self, token: bytes) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        core = bare(token.decode("utf-8", "replace").lower())
-        value = self[token] = self.of(decode(core, self.restorer.model) if suspicious(core) else core) if core else 0.0
+        value = self[token] = max(self.of(w) if w else 0.0 for w in readings(bare(token.decode("utf-8", "replace").lower()), self.characters))
         return value
 
 
@@ -359,11 +395,8 @@ def _score_kernel(model: Model):
                 tokens = (text or b"").lower().split()
                 found = list(map(weights.__getitem__, set(tokens)))
                 n = len(found)
-                for run_ in spaced(tokens):
-                    if len(set(run_)) > 2:
-                        whole = decode(run_, model.characters)
-                        stretches = {whole[j : j + k] for k in range(4, 13) for j in range(len(whole) - k + 1)}
-                        found += [weights.of(s) for s in stretches]
+                parts = {s for whole in run_readings(tokens, model.characters) for s in stretches(whole, model.lengths)}
+                found += map(weights.of, parts)
                 x[i] = features(np.array(found), n)
             score = 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30)))
             names = [c for c in batch.schema.names if c != "_text"]

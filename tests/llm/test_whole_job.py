@@ -1,8 +1,9 @@
 """The registered queries do the whole job: rules, lists and bounds as they are set up for production."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tellura.llm import queries, urls
+from tellura.llm import queries, toxicity, urls
 
 
 def test_registered_rules(spark):
@@ -24,3 +25,25 @@ def test_listed_families(spark, tmp_path):
     planted = "|".join(f"{f}[.]" for f in families)
     left = queries.op7_url_filters(spark, "/root/testdata/sf0.01").where(F.col("rule").isNull() & F.col("host").rlike(planted))
     assert {r["verdict"] for r in left.collect()} == {"block"}
+
+
+def test_repeated_and_spaced_letters(spark):
+    """One repeated letter hides no insult, nor do spaces between the letters of a short or a long one."""
+    rng = np.random.default_rng(4)
+    bad = ["idiot", "stupid", "pathetic", "ass", "git", "goodfornothingloser"]
+    plain = ["the", "water", "runs", "over", "green", "hills", "and", "people", "stand", "near", "old", "houses", "reading", "letters", "grass", "as"]
+    texts = []
+    for i in range(300):
+        w = list(rng.choice(plain, 30))
+        if i % 5 == 0:
+            for b in rng.choice(bad, 3, replace=False):
+                w.insert(int(rng.integers(0, len(w))), str(b))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    hidden = [
+        "the iddiot water sttupid runs", "idiiot and paathetic people", "an a s s near the g i t water", "the g o o d f o r n o t h i n g l o s e r stand",
+        "the i d i o t and s t u p i d p a t h e t i c people", "the grass and letters over green hills", "people stand near o l d houses reading",
+    ]
+    got = [r["_score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(hidden)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert all(s >= 0.3 for s in got[:5]) and all(s < 0.3 for s in got[5:]), got
