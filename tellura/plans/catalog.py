@@ -555,14 +555,14 @@ def impedance_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT o_totalprice AS fs, replace(printf('%.6f', o_totalprice), '.', '_') AS name FROM orders WHERE o_orderkey < 1000")
 def fs_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = tables.table(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    orders = tables.table(spark, sf_dir, "orders")
     return orders.select(F.col("o_totalprice").alias("fs"), channels.fs_to_string_column(F.col("o_totalprice")).alias("name")).distinct()
 
 
 @query("""SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: printf('%.4f', x::DOUBLE)), ', ') AS text FROM embeddings""")
 def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", channels.array_to_string_column(F.slice("embedding", 1, 4), precision=4).alias("text"))
+    return rows.select("vec_id", channels.array_to_string_column(F.col("embedding"), precision=4).alias("text"))
 
 
 @query(f"WITH {_WINDOWS} SELECT chan, pos, round(value, 6) AS value FROM win WHERE global_win = 9")
