@@ -138,11 +138,11 @@ class Multiply(TimeProcess):
 
 @dataclass(frozen=True)
 class RemoveMean(TimeProcess):
-    """Each channel of each recording less its mean: partial sums, then a join with a row for each channel."""
+    """Each channel of each recording less the mean of its known samples: partial sums, then a join with a row for each channel. Gaps stay gaps."""
 
     def run(self, data: TimeData) -> TimeData:
         keys = ["site", "meas", "level", "chan"]
-        means = small(data.df.groupBy(*keys).agg(F.avg("value").alias("_mean")), len(data.recordings) * max(1, len(data.chans)))
+        means = small(data.df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(~F.isnan("value"), F.col("value"))), F.lit(float("nan"))).alias("_mean")), len(data.recordings) * max(1, len(data.chans)))
         return self._done(data, data.df.join(means, keys).withColumn("value", F.col("value") - F.col("_mean")).select(*data.df.columns))
 
 
@@ -343,7 +343,7 @@ class Resample(TimeProcess):
         if up == down:
             return self._done(data, data.df, recordings)
         keys = ["site", "meas", "level", "chan"]
-        means = small(data.df.groupBy(*keys).agg(F.avg("value").alias("_mean")), len(data.recordings) * max(1, len(data.chans)))
+        means = small(data.df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(~F.isnan("value"), F.col("value"))), F.lit(float("nan"))).alias("_mean")), len(data.recordings) * max(1, len(data.chans)))
         centred = data.df.join(means, keys).select(*keys, "sample", (F.col("value") - F.col("_mean")).alias("value"))
         lengths = {(r.site, r.meas): r.n_samples for r in recordings}
         taps = kernels.resample_taps(up, down)

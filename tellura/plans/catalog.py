@@ -171,8 +171,7 @@ def concurrent_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LINE} SELECT chan, sample, round(value - avg(value) OVER (PARTITION BY chan), 6) AS value FROM s WHERE chan = 'Hz'")
 def agg_remove_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = tables.line(spark, sf_dir)
-    return _rows(timeops.RemoveMean().run(replace(data, df=data.get_chan("Hz"))))
+    return _rows(timeops.RemoveMean().run(tables.line(spark, sf_dir)))
 
 
 @query(f"WITH {_LINE}, {_filled()} SELECT chan, sample, round(value, 6) AS value FROM filled")
@@ -188,9 +187,7 @@ def shift_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CLEAN} SELECT chan, sample, round(CASE WHEN chan = 'Ex' THEN value * value / 7 ELSE value END, 5) AS value FROM clean WHERE chan IN ('Ex', 'Hy')""")
 def apply_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = tables.line_clean(spark, sf_dir)
-    some = replace(data, df=data.df.where(F.col("chan").isin("Ex", "Hy")))
-    return rounded(timeops.ApplyFunction({"Ex": lambda x: x * x / 7}).run(some).df.select("chan", "sample", "value"), "value", digits=5)
+    return rounded(timeops.ApplyFunction({"Ex": lambda x: x * x / 7}).run(tables.line_clean(spark, sf_dir)).df.select("chan", "sample", "value"), "value", digits=5)
 
 
 def _resample_sql() -> str:
@@ -280,8 +277,7 @@ def win_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WINDOWS}, bins AS (SELECT unnest(range(65)) AS bin), {_transform("bins")} SELECT chan, global_win, bin::INTEGER AS freq_idx, round(bin / 8, 6) AS freq, round(re, 5) AS re, round(im, 5) AS im FROM z WHERE chan = 'Ex'""")
 def fft_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windowed = _windowed(spark, sf_dir)
-    data = spectra.FourierTransform().run(replace(windowed, df=windowed.df.where(F.col("chan") == "Ex")))
+    data = spectra.FourierTransform().run(_windowed(spark, sf_dir))
     return rounded(data.long().select("chan", "global_win", "freq_idx", "freq", r6("re", 5).alias("re"), r6("im", 5).alias("im")), "freq")
 
 
@@ -299,8 +295,7 @@ def fft_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EVALS} SELECT chan, global_win, freq_idx, round(re, 5) AS re, round(im, 5) AS im FROM evals WHERE chan = 'Hy'")
 def fft_evals_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same values through whole spectra and interpolation."""
-    windowed = _windowed(spark, sf_dir)
-    data = spectra.FourierTransform().run(replace(windowed, df=windowed.df.where(F.col("chan") == "Hy")))
+    data = spectra.FourierTransform().run(_windowed(spark, sf_dir))
     rows = spectra.EvaluationFreqs().run(data, tables.SETUP.run(tables.FS)).long()
     return rows.select("chan", "global_win", "freq_idx", r6("re", 5).alias("re"), r6("im", 5).alias("im"))
 
@@ -469,7 +464,7 @@ def cross_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT eval_idx, out_chan, global_win, cross_chan, 're' AS part, round(re, 4) AS y, round(xr, 4) AS x0, round(-xi, 4) AS x1, round(yr, 4) AS x2, round(-yi, 4) AS x3 FROM j
 UNION ALL SELECT eval_idx, out_chan, global_win, cross_chan, 'im', round(im, 4), round(xi, 4), round(xr, 4), round(yi, 4), round(yr, 4) FROM j""")
 def regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = regression.regression_rows(_quick(spark, sf_dir, IMPEDANCE)[0], IMPEDANCE).where(F.col("out_chan") == "Ex")
+    rows = regression.regression_rows(_quick(spark, sf_dir, IMPEDANCE)[0], IMPEDANCE)
     return rows.select("eval_idx", "out_chan", "global_win", "cross_chan", "part", r6("y", 4).alias("y"), *[r6(F.col("x")[i], 4).alias(f"x{i}") for i in range(4)])
 
 
