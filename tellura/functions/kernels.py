@@ -89,6 +89,12 @@ def response(sections: np.ndarray, freqs: np.ndarray, fs: float) -> np.ndarray:
     return out
 
 
+def ring(sections: np.ndarray, rest: float = 1e-14) -> int:
+    """Samples after which the slowest pole of the sections has died away to ``rest``."""
+    radius = max(np.abs(np.roots(s[3:])).max(initial=0.0) for s in sections)
+    return math.ceil(math.log(rest) / math.log(min(max(radius, 1e-3), 1 - 1e-12)))
+
+
 def _steady(section: np.ndarray) -> np.ndarray:
     """State of a section after a long input of ones (transposed direct form II)."""
     b0, b1, b2, _, a1, a2 = section

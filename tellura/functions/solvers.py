@@ -129,9 +129,10 @@ class TheilSen(Solver):
         if size == n:
             return least_squares(x, y)
         fits = []
-        for first in range(0, self.max_subpopulation, 250):
-            count = min(250, self.max_subpopulation - first)
-            rows = np.argpartition(rng.random((count, n)), size - 1, axis=1)[:, :size] if n <= 20_000 else rng.integers(0, n, (count, size))
+        at_once = min(250, max(1, 5_000_000 // n))  # bounds memory; the draws are the same
+        for first in range(0, self.max_subpopulation, at_once):
+            count = min(at_once, self.max_subpopulation - first)
+            rows = np.argpartition(rng.random((count, n)), size - 1, axis=1)[:, :size]
             xs, ys = x[rows], y[rows]
             normal, right = np.einsum("sij,sik->sjk", xs, xs), np.einsum("sij,si->sj", xs, ys)
             ridge = 1e-12 * np.trace(normal, axis1=1, axis2=2)[:, None, None] / k * np.eye(k)

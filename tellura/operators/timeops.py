@@ -251,7 +251,7 @@ def _blocks(df: DataFrame, halo: int, block: int, fn: Callable[[np.ndarray, int,
 @dataclass(frozen=True)
 class _Filter(TimeProcess):
     """Zero-phase Butterworth filter. A channel of up to ``whole`` samples is one task's; a longer one goes by blocks
-    with a halo of ``halo_periods`` periods of the lowest edge on each side, beyond which the response has died away."""
+    with a halo on each side of ``halo_periods`` periods of the lowest edge, and at least as long as the slowest pole rings."""
 
     order: int = 10
     whole: int = WHOLE
@@ -267,7 +267,7 @@ class _Filter(TimeProcess):
         if max(r.n_samples for r in data.recordings) <= self.whole:
             df = _whole_channels(data.df, lambda x, _: kernels.zero_phase(sections, x))
         else:
-            halo = math.ceil(self.halo_periods * fs / min(edges))
+            halo = max(math.ceil(self.halo_periods * fs / min(edges)), kernels.ring(sections))
 
             def part(x: np.ndarray, first: int, start: int, end: int) -> tuple[int, np.ndarray]:
                 return start, kernels.zero_phase(sections, x)[start - first : end - first]
@@ -393,8 +393,10 @@ class Decimate(TimeProcess):
             if max(lengths) <= self.whole:
                 df = _whole_channels(df, lambda x, _, q=q: kernels.decimate_step(x, q))
             else:
-                sections, halo = kernels.chebyshev1(8, 0.05, 0.8 / q, 2.0), self.halo_periods * q
-                block = BLOCK - BLOCK % q
+                sections = kernels.chebyshev1(8, 0.05, 0.8 / q, 2.0)
+                halo = max(self.halo_periods * q, kernels.ring(sections))
+                block = max(BLOCK, 2 * halo)
+                block -= block % q
 
                 def part(x: np.ndarray, first: int, start: int, end: int, q: int = q, sections: np.ndarray = sections) -> tuple[int, np.ndarray]:
                     return start // q, kernels.zero_phase(sections, x)[start - first : end - first : q]

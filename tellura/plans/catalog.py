@@ -516,7 +516,7 @@ def _solver_query(name: str, solver: regression.Solver) -> None:
 
 
 for _name, _solver in (
-    ("solve_huber", regression.SolverHuber(epsilon=1.0)), ("solve_theilsen", regression.SolverTheilSen(max_subpopulation=500)),
+    ("solve_huber", regression.SolverHuber(epsilon=1.0)), ("solve_theilsen", regression.SolverTheilSen()),
     ("solve_ransac", regression.SolverRANSAC()), ("solve_wls", regression.SolverWLS()),
 ):
     _solver_query(_name, _solver)
