@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python kernel takes at a time (a longer text is taken alone).
 CHUNK_BYTES = 2_000_000
@@ -66,6 +67,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(taken: list[str], name: str) -> str:
+    """``name`` with underscores before it until no column of ``taken`` has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def schema_of(df: DataFrame, names: list[str], more: str) -> StructType:
+    """The named columns of ``df``, and those that the DDL ``more`` gives."""
+    return StructType([*[df.schema[c] for c in names], *StructType.fromDDL(more).fields])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows_of_label: int, id_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of ``docs`` (_id, ...) with a label y of 0 or 1, ``rows_of_label`` of each at most, and the numbers of ids by label.
+
+    The sample is drawn by a hash of the id. An id that is labelled 0 and 1
+    counts as 1; of rows that share an id the least one serves; null ids and
+    other labels are left out.
+    """
+    known = labels.where(quoted(label_col).isin(0, 1) & quoted(id_col).isNotNull())
+    named = known.groupBy(quoted(id_col).alias("_id")).agg(F.max(quoted(label_col)).cast("int").alias("y"))
+    totals = {r["y"]: r["count"] for r in named.groupBy("y").count().collect()}
+    parts = [named.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows_of_label) for y in (0, 1)]
+    drawn = F.broadcast(parts[0].unionByName(parts[1]))
+    rest = [c for c in docs.columns if c != "_id"]
+    rows = docs.join(drawn, "_id").groupBy("_id").agg(F.first("y").alias("y"), F.min(F.struct(*rest)).alias("_row"))
+    return rows.select("y", *[F.col(f"_row.{c}").alias(c) for c in rest]), totals
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str, id_col: str) -> DataFrame:
+    """``rows`` left-joined with ``known`` (a row for each ``key``, with the number of rows that have it in ``count``).
+
+    Keys of more than a thousandth of the rows, fewer than 1,000, are
+    broadcast; their rows and those of null keys are dealt by ``id_col``.
+    """
+    known = known.where(F.col(key).isNotNull())
+    total = known.agg(F.sum(count)).first()[0] or 0
+    known, hot = known.drop(count), known.where(F.col(count) > max(1000, total // 1000)).drop(count)
+    names = [c for c in known.columns if c != key]
+    hot = hot.select(F.col(key).alias("_hot"), F.struct(*names).alias("_of_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    cold = F.when(F.col("_hot").isNull(), F.col(key))
+    dealt = marked.withColumn("_cold", cold).withColumn("_salt", F.when(F.col("_cold").isNull(), F.xxhash64(id_col)).otherwise(F.lit(0).cast("long")))
+    table = known.select(F.col(key).alias("_known"), F.lit(0).cast("long").alias("_at"), F.struct(*names).alias("_of"))
+    joined = dealt.join(table, (F.col("_cold") == F.col("_known")) & (F.col("_salt") == F.col("_at")), "left")
+    out = joined.withColumn("_of", F.coalesce("_of", "_of_hot"))
+    return out.select(*rows.columns, *[F.col(f"_of.{c}").alias(c) for c in names])
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """A number strictly between 0 and 1 that the parts alone decide, the same in any engine.
 

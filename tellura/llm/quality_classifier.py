@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import CACHE_WORDS, byte_texts, chunks, hash_words, small_batches
+from tellura.llm.common import CACHE_WORDS, byte_texts, chunks, hash_words, labelled, quoted, schema_of, small_batches
 from tellura.llm.common import WordHashes
 from tellura.llm.quality_rules import SPACES, repeated_words
 
@@ -185,22 +185,16 @@ def _feature_kernel(bits: int):
 
 
 def _rows(docs: DataFrame, text_col: str, meta_col: str | None, *keep: str) -> DataFrame:
-    meta = F.col(meta_col).cast("long") if meta_col else F.lit(None).cast("long")
-    return docs.select(*keep, F.col(text_col).alias("_text"), meta.alias("_n"))
+    meta = quoted(meta_col).cast("long") if meta_col else F.lit(None).cast("long")
+    return docs.select(*keep, quoted(text_col).alias("_text"), meta.alias("_n"))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_col: str | None = "n_chars"
 ) -> Machine:
-    """Learn from the rows of ``labels`` with label 0 or 1, ``rows_of_label`` of each at most, by hash of the id."""
+    """Learn from the rows of ``labels`` with label 0 or 1, ``rows_of_label`` of each at most (see labelled())."""
     small_batches(docs.sparkSession, 500)
-    named = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-    totals = {r["y"]: r["count"] for r in named.groupBy("y").count().collect()}
-    drawn = None
-    for y in (0, 1):
-        part = named.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(how.rows_of_label)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    texts = _rows(docs, text_col, meta_col, F.col(id_col).alias("_id")).join(drawn, "_id")
+    texts, totals = labelled(_rows(docs, text_col, meta_col, quoted(id_col).alias("_id")), labels, how.rows_of_label, id_col, label_col)
     rows = texts.select("y", "_text", "_n").mapInArrow(_feature_kernel(how.bits), "y int, slots binary, amounts binary").collect()
     if not rows:
         return Machine(0.0, np.zeros(N_FIGURES + (1 << how.bits), np.float32), np.zeros((N_FIGURES + (1 << how.bits), how.rank), np.float32))
@@ -215,24 +209,26 @@ def _score_kernel(machine: Machine, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, cache = _Slots(bits), WordHashes()
         for batch in batches:
-            texts, meta = [t or b"" for t in byte_texts(batch.column("_text"))], batch.column("_n").to_pylist()
+            texts, meta = [t or b"" for t in byte_texts(batch.column("text"))], batch.column("n").to_pylist()
             for a, b in chunks(texts):
                 raw = machine.raw(*feature_rows(texts[a:b], meta[a:b], slots, cache))
                 score = 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
-                part = batch.slice(a, b - a)
-                names = [c for c in part.schema.names if c not in ("_text", "_n")]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(score)], [*names, "_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(score)], ["row", "score"])
 
     return run
 
 
-def score(docs: DataFrame, machine: Machine, how: Fit = Fit(), text_col: str = "text", meta_col: str | None = "n_chars", keep: Sequence[str] | None = None) -> DataFrame:
-    """All columns of ``docs``, or those of ``keep``, and ``_score``: higher where label 1 is likelier.
+def score(
+    docs: DataFrame, machine: Machine, how: Fit = Fit(), text_col: str = "text", meta_col: str | None = "n_chars", keep: Sequence[str] | None = None, score_col: str = "_score"
+) -> DataFrame:
+    """All columns of ``docs``, or those of ``keep``, and ``score_col``: higher where label 1 is likelier.
 
     Null and empty texts are scored by their structure. Equal rows have equal
-    scores. Columns named ``_score``, ``_text`` or ``_n`` are replaced.
+    scores. A column of that name is replaced; others stay, whatever their names.
     """
     small_batches(docs.sparkSession, 500)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("_score", "_text", "_n")]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return _rows(docs, text_col, meta_col, *names).mapInArrow(_score_kernel(machine, how.bits), f"{shape}, _score double")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
+    figure = (quoted(meta_col) if meta_col else F.lit(None)).cast("long")
+    rows = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(text_col).alias("text"), figure.alias("n"))
+    scored = rows.mapInArrow(_score_kernel(machine, how.bits), schema_of(rows, ["row"], "score double"))
+    return scored.select(*[F.col("row")[c].alias(c) for c in names], F.col("score").alias(score_col))

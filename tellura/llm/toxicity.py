@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import CACHE_WORDS, WordHashes, byte_texts, chunks, hash_words, mix, rolling, small_batches
+from tellura.llm.common import CACHE_WORDS, WordHashes, byte_texts, chunks, hash_words, labelled, mix, quoted, rolling, schema_of, small_batches
 
 #: Letters that the character model tells apart; 0 is a word's edge, the last class any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
@@ -42,10 +42,9 @@ LETTER = math.log(len(LETTERS))
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of what is learnt: labelled rows for each label, and words and word beginnings of the model."""
+    """``rows_of_label``: labelled rows of each label that are learnt from, at most; all units that two families of them share are kept."""
 
-    rows_of_label: int = 2500
-    lexicon: int = 60_000
+    rows_of_label: int = 3000
     smooth: float = 3.0
     prefix: int = 4
 
@@ -77,7 +76,7 @@ def _trigram_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(letter | two before) from the counts of all texts; CLASSES cubed numbers whatever the corpus."""
-    counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(_trigram_kernel, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(quoted(text_col).alias("_text")).mapInArrow(_trigram_kernel, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(CLASSES**3)
     n[np.asarray(counts.column("trigram"))] = np.asarray(counts.column("n"))
     n = n.reshape(CLASSES, CLASSES, CLASSES)
@@ -275,18 +274,12 @@ def _unit_kernel(characters: np.ndarray, prefix: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from ``labels`` (``id_col``, ``label_col`` 0 or 1): all rows given may be used, ``rows_of_label`` of each label at most, by hash of the id."""
+    """Learn from ``labels`` (``id_col``, ``label_col`` 0 or 1): all rows given may be used, ``rows_of_label`` of each label at most (see labelled())."""
     small_batches(docs.sparkSession, 500)
     characters = character_model(docs, text_col)
-    named = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-    totals = {r["y"]: r["count"] for r in named.groupBy("y").count().collect()}
-    drawn = None
-    for y in (0, 1):
-        part = named.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(how.rows_of_label)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(drawn, "_id").select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, words binary, starts binary, sizes binary, runs array<string>").toArrow()
-    return _learn(characters, rows, totals, how)
+    rows, totals = labelled(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), labels, how.rows_of_label, id_col, label_col)
+    learnt = rows.select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, words binary, starts binary, sizes binary, runs array<string>")
+    return _learn(characters, learnt.toArrow(), totals, how)
 
 
 def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how: Fit) -> Model:
@@ -333,7 +326,6 @@ def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how:
     coefficients = _logistic(rows_x, y, weight)
     w = odds(up, down)
     keep = np.flatnonzero((seen >= 2) & (units != 0))
-    keep = keep[np.argsort(-np.abs(w[keep]) * np.sqrt(seen[keep]), kind="stable")][: how.lexicon]
     size = np.zeros(len(units), np.int32)
     size[inverse[:half]] = np.concatenate(sizes)
     return Model(characters, units[keep], w[keep].astype(np.float32), coefficients, how.prefix, tuple(np.setdiff1d(size[keep], [0]).tolist()))
@@ -391,7 +383,7 @@ def _score_kernel(model: Model):
         weights = _Weights(model)
         for batch in batches:
             x = np.zeros((batch.num_rows, N_FEATURES))
-            for i, text in enumerate(byte_texts(batch.column("_text"))):
+            for i, text in enumerate(byte_texts(batch.column("text"))):
                 tokens = (text or b"").lower().split()
                 found = list(map(weights.__getitem__, set(tokens)))
                 n = len(found)
@@ -399,22 +391,23 @@ def _score_kernel(model: Model):
                 found += map(weights.of, parts)
                 x[i] = features(np.array(found), n)
             score = 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30)))
-            names = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(score)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """All columns of ``docs``, or those of ``keep``, and ``_score`` between 0 and 1, higher where a toxic label is likelier.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = "_score") -> DataFrame:
+    """All columns of ``docs``, or those of ``keep``, and ``score_col`` between 0 and 1, higher where a toxic label is likelier.
 
     Null and empty texts have a score too, that of no evidence; equal texts
-    have equal scores. A column ``_score`` or ``_text`` in ``docs`` is replaced.
+    have equal scores. A column of that name is replaced; others stay, whatever
+    their names.
     """
     small_batches(docs.sparkSession, 500)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("_score", "_text")]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(_score_kernel(model), f"{shape}, _score double")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
+    rows = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(text_col).alias("text"))
+    scored = rows.mapInArrow(_score_kernel(model), schema_of(rows, ["row"], "score double"))
+    return scored.select(*[F.col("row")[c].alias(c) for c in names], F.col("score").alias(score_col))
 
 
 def split_of(key: Column, parts: int) -> Column:
