@@ -1,9 +1,9 @@
 """Quality rules: counts of a text, and lines that too many documents of a host share.
 
 Lines are normalised (A-Z in lower case, runs of white space one space) and
-hashed; the distinct documents of each host that hold a line are counted, copies
-of a text as one. Lines above the limit are removed; a document of which too few
-words remain is rejected.
+hashed; the distinct documents of each host that hold a line are counted, and
+a document is an id with a text. Lines above the limit are removed; a document
+of which too few words remain is rejected.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import WordHashes, byte_texts, chunks, hash_words, materialise, rolling
+from tellura.llm.common import WordHashes, byte_texts, chunks, hash_words, materialise, quoted, rolling, schema_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -106,21 +106,34 @@ def _cut_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
 
-def frequent_lines(docs: DataFrame, limits: LineLimits, host_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_host, text, line, n) of distinct texts by host that hold lines above the limit, and all lines above it."""
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("~"))
-    lines = docs.select(host.alias("_host"), F.col(text_col).alias("_text")).mapInArrow(_line_kernel, "_host string, text long, line long, n long")
-    lines = materialise(lines.groupBy("_host", "text", "line").agg(F.first("n").alias("n")), "lines")  # copies of a text count once
-    texts = lines.groupBy("_host", "text").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("n_texts"))
-    counts = lines.groupBy("_host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limits.min_docs)
-    above = counts.join(texts, "_host").where(F.col("n_docs") > limits.share * F.col("n_texts")).select("_host", "line", "n_docs")
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), quoted(host_col).cast("string")), F.lit("~"))
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """Rows (_host, text, copies) from rows (_id, _host, text): how many documents, told apart by id, have a text."""
+    return keyed.select("_id", "_host", "text").distinct().groupBy("_host", "text").agg(F.count("*").alias("copies"))
+
+
+def frequent_lines(docs: DataFrame, keyed: DataFrame, limits: LineLimits, host_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_host, text, line, n) of distinct texts by host that hold lines above the limit, and all lines above it.
+
+    A text's lines are found once and count for each of the documents of
+    ``keyed`` (_id, _host, text) that have it.
+    """
+    lines = docs.select(_host(host_col).alias("_host"), quoted(text_col).alias("_text")).mapInArrow(_line_kernel, "_host string, text long, line long, n long")
+    lines = lines.groupBy("_host", "text", "line").agg(F.first("n").alias("n"))
+    lines = materialise(lines.join(_copies(keyed), ["_host", "text"]), "lines")
+    held = lines.groupBy("_host", "text").agg(F.first("copies").alias("copies")).groupBy("_host").agg(F.sum("copies").alias("of_host"))
+    counts = lines.groupBy("_host", "line").agg(F.sum("copies").alias("n_docs")).where(F.col("n_docs") > limits.min_docs)
+    above = counts.join(held, "_host").where(F.col("n_docs") > limits.share * F.col("of_host")).select("_host", "line", "n_docs")
     above = materialise(above, "frequent-lines")
     return lines.join(above.select("_host", "line"), ["_host", "line"]), above
 
 
-def line_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), host_col: str = "source", text_col: str = "text") -> DataFrame:
+def line_verdicts(docs: DataFrame, keyed: DataFrame, limits: LineLimits = LineLimits(), host_col: str = "source", text_col: str = "text") -> DataFrame:
     """Rows (_host, text, n_removed, gone): a row for each text of a host that loses lines, ``gone`` their hashes."""
-    held, _ = frequent_lines(docs, limits, host_col, text_col)
+    held, _ = frequent_lines(docs, keyed, limits, host_col, text_col)
     return held.groupBy("_host", "text").agg(F.sum("n").alias("n_removed"), F.collect_list("line").alias("gone"))
 
 
@@ -130,13 +143,15 @@ def judge_documents(docs: DataFrame, limits: LineLimits = LineLimits(), id_col:
     ``kept`` is false where the base rules fail, and where less than
     ``keep_percent`` of the words are left once lines above the limits are
     removed. Null and empty texts have no words and fail. A null host is a
-    host of its own. Repeated rows and copies get the same verdict and count as
-    one document of a line. Other columns play no part.
+    host of its own, a null id an id. Copies with ids of their own are
+    documents of their own; rows that repeat an id and a text are one document
+    and get the same verdict. Other columns play no part; an empty table gives
+    an empty one.
     """
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("~"))
-    rows = docs.select(F.col(id_col).alias("_id"), host.alias("_host"), F.col(text_col).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), _host(host_col).alias("_host"), quoted(text_col).alias("_text"))
     hashed = rows.mapInArrow(_verdict_kernel, f"_id {rows.schema['_id'].dataType.simpleString()}, _host string, text long, {BASE}")
-    removed = line_verdicts(docs, limits, host_col, text_col).select("_host", "text", "n_removed")
+    hashed = materialise(hashed, "counts")
+    removed = line_verdicts(docs, hashed, limits, host_col, text_col).select("_host", "text", "n_removed")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     gone = F.coalesce("n_removed", F.lit(0)).cast("long")
     enough = 100 * (F.col("n_words") - gone) >= limits.keep_percent * F.col("n_words")
@@ -159,15 +174,14 @@ def _verdict_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def cut_lines(docs: DataFrame, limits: LineLimits = LineLimits(), host_col: str = "source", text_col: str = "text") -> DataFrame:
+def cut_lines(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines above the limits removed from ``text_col``; rows and other columns stay."""
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("~"))
-    wide = docs.select(F.struct("*").alias("_row"), host.alias("_host"), F.col(text_col).alias("_text"))
-    kind = wide.schema["_row"].dataType.simpleString()
-    keyed = wide.select("_row", "_host", F.col("_text")).mapInArrow(_keyed_kernel, f"_row {kind}, _host string, _text string, text long")
-    gone = line_verdicts(docs, limits, host_col, text_col).select("_host", "text", F.col("gone").alias("_gone"))
-    cut = keyed.join(gone, ["_host", "text"], "left").select("_row", "_text", "_gone").mapInArrow(_cut_kernel, f"_row {kind}, _text string, _gone array<bigint>")
-    return cut.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    every = F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
+    wide = docs.select(every, quoted(id_col).alias("_id"), _host(host_col).alias("_host"), quoted(text_col).alias("_text"))
+    keyed = wide.mapInArrow(_keyed_kernel, schema_of(wide, ["_row", "_id", "_host", "_text"], "text long"))
+    gone = line_verdicts(docs, keyed, limits, host_col, text_col).select("_host", "text", F.col("gone").alias("_gone"))
+    cut = keyed.join(gone, ["_host", "text"], "left").select("_row", "_text", "_gone").mapInArrow(_cut_kernel, schema_of(wide, ["_row", "_text"], "_gone array<bigint>"))
+    return cut.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _keyed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

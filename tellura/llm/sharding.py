@@ -42,22 +42,21 @@ def layout(n_shards: int, fleet: tuple[int, int, int] = FLEET) -> Node:
 
     The shards of the built fleet fill its regions and racks in order. Each
     shard beyond them opens a region of its own, so that it takes keys only
-    into itself, from everywhere in proportion.
+    into itself, from everywhere in proportion. A tree of fewer shards than
+    the fleet has is refused: one more shard would open a rack or a region
+    beside others and draw keys into these too. Give a smaller ``fleet``.
     """
-    if n_shards < 1:
-        raise ValueError("a tree needs a shard")
     regions, racks, per_rack = fleet
-    built = min(n_shards, regions * racks * per_rack)
+    built = regions * racks * per_rack
+    if n_shards < max(1, built):
+        raise ValueError(f"{n_shards} shards are fewer than the {built} of the fleet {fleet}")
     tree: list[Node] = []
     for r in range(regions):
         rows = []
         for k in range(racks):
             first = (r * racks + k) * per_rack
-            leaves = tuple(Node(f"r{r}/k{k}/s{s}", shard=s) for s in range(first, min(first + per_rack, built)))
-            if leaves:
-                rows.append(Node(f"r{r}/k{k}", leaves))
-        if rows:
-            tree.append(Node(f"r{r}", tuple(rows)))
+            rows.append(Node(f"r{r}/k{k}", tuple(Node(f"r{r}/k{k}/s{s}", shard=s) for s in range(first, first + per_rack))))
+        tree.append(Node(f"r{r}", tuple(rows)))
     for s in range(built, n_shards):
         r = regions + s - built
         tree.append(Node(f"r{r}", (Node(f"r{r}/k0", (Node(f"r{r}/k0/s{s}", shard=s),)),)))
@@ -81,14 +80,15 @@ def place(key: Column, tree: Node, seed: int = 0) -> Column:
 
 
 def assign_shards(
-    docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = (), seed: int = 0, bins: int = SLOT_BINS
+    docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = (), seed: int = 0, bins: int = SLOT_BINS, fleet: tuple[int, int, int] = FLEET
 ) -> DataFrame:
     """Shard and slot of each row, with its size and what a fleet of one more shard would hold.
 
     Columns: ``id_col``, ``extra``, size, text_crc32, shard, slot, grown_shard.
-    The id and the number of shards decide the shard. Slots number the rows of
+    The id and the number of shards, at least those of ``fleet``, decide the
+    shard; one more shard takes rows only into itself. Slots number the rows of
     a shard without gaps, in order of (bin, id, checksum, size), where the bin
-    is a hash of the id: the rows of a shard are counted by bin and numbered
+    is a hash of the id and the checksum: the rows of a shard are counted by bin and numbered
     bin by bin, so no task holds a shard. Null texts have size 16 and the
     checksum of the empty text; rows with equal ids (null too) share a shard
     and have slots of their own; an empty table gives an empty one; other
@@ -100,9 +100,9 @@ def assign_shards(
         F.struct(key.alias("id"), *[F.col(c) for c in extra]).alias("keep"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        place(key, layout(n_shards), seed).alias("shard"),
-        place(key, layout(n_shards + 1), seed).alias("grown_shard"),
-        F.floor(uniform(key, seed, "slot") * bins).cast("int").alias("bin"),
+        place(key, layout(n_shards, fleet), seed).alias("shard"),
+        place(key, layout(n_shards + 1, fleet), seed).alias("grown_shard"),
+        F.floor(uniform(key, seed, F.crc32(text), "slot") * bins).cast("int").alias("bin"),
     )
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bin").count()

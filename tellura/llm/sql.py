@@ -42,12 +42,12 @@ keys AS (SELECT DISTINCT doc_id, '' AS path FROM documents),
 base AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size,
     xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
-      lambda c, b: xor(c >> 8, l[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
-    floor({_u("coalesce(doc_id::VARCHAR, '~')", "'0'", "'slot'")} * 1024) AS bin
-  FROM documents, tab)
+      lambda c, b: xor(c >> 8, l[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM documents, tab),
+binned AS (SELECT *, floor({_u("coalesce(doc_id::VARCHAR, '~')", "'0'", "text_crc32::VARCHAR", "'slot'")} * 1024) AS bin FROM base)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, split_part(a.path, '/s', 2)::INTEGER AS shard,
   (row_number() OVER (PARTITION BY a.path ORDER BY bin, doc_id, text_crc32, size) - 1)::BIGINT AS slot, split_part(b.path, '/s', 2)::INTEGER AS grown_shard
-FROM base JOIN t40_3 a USING (doc_id) JOIN t41_3 b USING (doc_id)
+FROM binned JOIN t40_3 a USING (doc_id) JOIN t41_3 b USING (doc_id)
 """
 
 _WS = "[\\x20\\x09-\\x0D]"
@@ -61,15 +61,15 @@ win AS (
   FROM (SELECT rn, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
 twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rn, count(DISTINCT i + o) AS n FROM twice, range(5) r(o) GROUP BY rn),
-texts AS (SELECT DISTINCT host, t, raw FROM words WHERE t <> ''),
+texts AS (SELECT host, t, any_value(raw) AS raw, count(DISTINCT coalesce('=' || doc_id::VARCHAR, '~')) AS copies FROM words WHERE t <> '' GROUP BY host, t),
 lines AS (
-  SELECT host, t, line, sum(n) AS n FROM (
-    SELECT host, t, array_to_string(p, ' ') AS line, len(p) AS n FROM (
-      SELECT host, t, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda y: y <> '') AS p
-      FROM (SELECT host, t, unnest(raw) AS x FROM texts)) WHERE len(p) > 0)
+  SELECT host, t, copies, line, sum(n) AS n FROM (
+    SELECT host, t, copies, array_to_string(p, ' ') AS line, len(p) AS n FROM (
+      SELECT host, t, copies, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda y: y <> '') AS p
+      FROM (SELECT host, t, copies, unnest(raw) AS x FROM texts)) WHERE len(p) > 0)
   GROUP BY ALL),
-held AS (SELECT host, count(DISTINCT t) AS n_texts FROM lines GROUP BY host),
-above AS (SELECT host, line FROM lines JOIN held USING (host) GROUP BY host, line, n_texts HAVING count(*) > 20 AND count(*) > 0.002 * n_texts),
+held AS (SELECT host, sum(copies) AS n_docs FROM (SELECT DISTINCT host, t, copies FROM lines) GROUP BY host),
+above AS (SELECT host, line FROM lines JOIN held USING (host) GROUP BY host, line, n_docs HAVING sum(copies) > 20 AND sum(copies) > 0.002 * n_docs),
 gone AS (SELECT host, t, sum(n) AS n FROM lines JOIN above USING (host, line) GROUP BY ALL),
 counted AS (
   SELECT doc_id, host, t, len(w)::BIGINT AS n_words, coalesce(len(array_to_string(w, '')), 0)::BIGINT AS word_chars,
@@ -96,11 +96,11 @@ canon AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') || regexp_replace(path, '([.]html)?/*$', '')
     || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END END AS canonical_url FROM parts),
 rules(rule, h, p, v) AS (VALUES
-  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'block'),
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
   ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
 best AS (
   SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(v, len(rule)) AS v FROM canon JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-listed AS (SELECT DISTINCT canonical_url AS c FROM canon WHERE contains(host, 'ads-track') AND canonical_url IS NOT NULL)
+listed AS (SELECT DISTINCT canonical_url AS c FROM canon WHERE regexp_matches(host, 'ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm') AND canonical_url IS NOT NULL)
 SELECT page_id, host, path, rule, canonical_url, coalesce(v, CASE WHEN c IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM canon LEFT JOIN best USING (page_id) LEFT JOIN listed ON canonical_url = c
 """
