@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellura.llm.common import materialise, uniform
+from tellura.llm.common import materialise, quoted, uniform
 
 #: Exponent of the sources' sizes in the target shares, where no weights are given: 1 leaves them, 0 evens them.
 TEMPERATURE = 0.7
@@ -32,6 +32,11 @@ def poisson_table(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["all"])).otherwise(F.array(F.lit(1.0)))
 
 
+def _named(source: Column) -> Column:
+    """A source as a key: null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
+
+
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", scale: float = 1.0) -> DataFrame:
     """A row (source, bytes, rate, table) for each source.
 
@@ -40,8 +45,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     the power TEMPERATURE. ``scale`` is the size of the mixed corpus over that
     of the given one.
     """
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    stats = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("bytes"))
+    size = F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)).cast("long")
+    stats = docs.groupBy(quoted(source_col).alias("source")).agg(F.sum(size).alias("bytes"))
     if weights is None:
         share = F.pow(F.col("bytes").cast("double"), F.lit(TEMPERATURE))
     else:
@@ -63,20 +68,20 @@ def replicate(
     """All columns of ``docs`` with _copy (from 0), _rate and _shuffle_key, globally shuffled.
 
     Documents with count 0 are left out: that is the sampling asked for. A
-    null source is a source of its own; null texts weigh nothing and a source
-    of weight 0 gives no rows. Rows that repeat an id repeat its count. The
-    shuffle key is a hash of (id, copy, seed); it decides the partition of a copy
-    and its place there, whatever the order before. Columns of those three names in ``docs`` are replaced.
+    null source is a source of its own; null and empty texts weigh nothing, a
+    source of weight 0 or without bytes gives no rows, and an empty table gives
+    an empty one. Rows that repeat an id (null too) repeat its count. The
+    shuffle key is a hash of (id, copy, seed); with the text's size, which parts
+    rows of one id, it decides the partition of a copy, and its place there.
+    Columns of those three names in ``docs`` are replaced; others keep their values, whatever their names.
     """
-    docs = docs.drop("_copy", "_rate", "_shuffle_key")
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))
-    rates = source_rates(docs, weights, source_col, text_col, scale).select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")).alias("_name"), F.col("rate").alias("_rate"), F.col("table").alias("_table")
-    )
+    keep = [c for c in docs.columns if c.lower() not in ("_copy", "_rate", "_shuffle_key")]
+    rates = source_rates(docs, weights, source_col, text_col, scale).select(_named(F.col("source")).alias("name"), "rate", "table")
     rates = materialise(rates, "source-rates")  # its size is known then: Spark broadcasts it only if it is small
-    u = uniform(F.col(id_col), seed, "count")
-    keyed = docs.withColumn("_name", name).join(rates, "_name")
-    count = F.size(F.filter("_table", lambda c: c < F.col("_u")))
-    copies = keyed.withColumn("_u", u).withColumn("_n", count).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    shuffled = copies.withColumn("_shuffle_key", F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("_copy"), F.lit(seed), F.lit("order"))), 1, 16))
-    return shuffled.select(*docs.columns, "_copy", "_rate", "_shuffle_key").repartition("_shuffle_key").sortWithinPartitions("_shuffle_key", "_copy")
+    key, size = quoted(id_col), F.coalesce(F.octet_length(quoted(text_col)), F.lit(-1))
+    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("row"), key.alias("id"), size.alias("size"), _named(quoted(source_col)).alias("name"), uniform(key, seed, "count").alias("u"))
+    count = F.size(F.filter("table", lambda c: c < F.col("u")))
+    copies = rows.join(rates, "name").withColumn("n", count).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    order = F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("~")), F.col("copy"), F.lit(seed), F.lit("order"))), 1, 16)
+    shuffled = copies.select("row", "size", "copy", "rate", order.alias("order")).repartition("order", "size").sortWithinPartitions("order", "copy")
+    return shuffled.select(*[F.col("row")[c].alias(c) for c in keep], F.col("copy").alias("_copy"), F.col("rate").alias("_rate"), F.col("order").alias("_shuffle_key"))
