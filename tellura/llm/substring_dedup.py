@@ -3,8 +3,9 @@
 Every window of ``size`` words has one fingerprint: the least hash of the
 n-grams inside it, so that equal windows have equal fingerprints and
 neighbouring windows mostly share theirs. The fingerprints of a batch of
-documents are written as a sorted run that never changes. A new batch is
-merge-joined with the runs before it; runs are compacted when there are many.
+documents are written as a sorted run that never changes, in buckets of one
+file each. A new batch is merge-joined with the runs before it, bucket by
+bucket, without a shuffle; runs are compacted when there are many.
 Fingerprints that occur in two texts, or twice in one, point to windows, and
 these are verified by 128-bit hashes of all their words.
 """
@@ -12,6 +13,7 @@ these are verified by 128-bit hashes of all their words.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.llm.common import WordHashes, as_long, byte_texts, chunks, fresh_path, hash_words, materialise, mix, remove, rolling, small_batches
+from tellura.llm.common import WordHashes, as_long, byte_texts, chunks, fresh_path, hash_words, join_hot, materialise, mix, quoted, remove, rolling, schema_of, small_batches, spare
 
 #: Runs that are kept side by side before they are merged into one.
-FAN_IN = 4
-#: Batches in which a table is added to a new index.
-BATCHES = 2
+FAN_IN = 2
+#: Batches in which a table is added to a new index; with FAN_IN runs side by side, the third is compacted with those before it.
+BATCHES = 4
 
 
 def gram_words(size: int) -> int:
@@ -77,77 +79,94 @@ def _twice(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([keys[~again], keys[first_again]]), np.concatenate([owners[~again], ~owners[first_again]])
 
 
-def _fingerprint_kernel(size: int, batches: int, batch_number: int | None):
-    """Rows (print, text): the fingerprints of each text; one that a text holds twice also has the complement of its hash."""
+def _fingerprint_kernel(size: int, batches: int):
+    """Rows (batch, print, text): the fingerprints of each text; one that a text holds twice also has the complement of its hash."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for part in parts:
             texts = list(dict.fromkeys(t for t in byte_texts(part.column("_text")) if t))
             hashed = [_text_hash(t) for t in texts]
-            if batch_number is not None:
-                keep = [i for i, h in enumerate(hashed) if h % batches == batch_number]
-                texts, hashed = [texts[i] for i in keep], [hashed[i] for i in keep]
             for a, b in chunks(texts):
                 hashes, counts = hash_words([t.split() for t in texts[a:b]], cache)
                 _, at, prints = windows(hashes, counts, size)
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]  # positions never go back
-                doc = np.repeat(np.arange(len(counts)), counts)
-                keys, owners = _twice(prints[new], _longs(hashed[a:b])[doc[at[new]]])
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(owners)], ["print", "text"])
+                doc = np.repeat(np.arange(len(counts)), counts)[at[new]]
+                keys, owners = _twice(prints[new], _longs(hashed[a:b])[doc])
+                unsigned = owners.view(np.uint64)
+                number = np.minimum(unsigned, ~unsigned) % np.uint64(batches)  # the same for a hash and its complement
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(as_long(keys)), pa.array(owners)], ["batch", "print", "text"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int, text_col: str = "text", batches: int = 1, batch: int | None = None) -> DataFrame:
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(_fingerprint_kernel(size, batches, batch), "print long, text long")
+def fingerprints(docs: DataFrame, size: int, text_col: str = "text", batches: int = 1) -> DataFrame:
+    """Rows (batch, print, text); a text and its copies are in one batch."""
+    return docs.select(quoted(text_col).alias("_text")).mapInArrow(_fingerprint_kernel(size, batches), "batch int, print long, text long")
 
 
 class FingerprintIndex:
     """Sorted immutable runs (print, text, many) in the shared folder.
 
     ``text`` is one text that holds the fingerprint, ``many`` whether there is
-    another place that does. A run is hash-partitioned by fingerprint and
-    sorted within its partitions.
+    another place that does. A run is a table in ``buckets`` buckets by
+    fingerprint, each one sorted file, so that runs are joined and compacted
+    bucket by bucket.
     """
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, buckets: int | None = None):
+        self.spark, self.fan_in, self.runs, self.compactions = spark, fan_in, [], 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, run: DataFrame) -> tuple[str, DataFrame]:
-        path = fresh_path(self.spark, "run")
-        return path, materialise(run.sortWithinPartitions("print"), "run", path)
+    def _write(self, run: DataFrame) -> str:
+        """The name of the run's table; ``run`` is hash-partitioned by fingerprint into ``buckets`` parts."""
+        name, path = f"tellura_run_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
+        run.write.bucketBy(self.buckets, "print").sortBy("print").option("path", path).format("parquet").saveAsTable(name)
+        self.runs.append((name, path))
+        return name
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
+    def joined(self, new: str, old: str) -> DataFrame:
+        """The merge join of two runs: (print) of the new one that the old one, or both together, hold in two places."""
+        run = self.spark.table(new).hint("merge")
+        known = self.spark.table(old).select("print", F.col("text").alias("old_text"), F.col("many").alias("old_many"))
+        return run.join(known, "print").where("old_many or old_text <> text").select("print")
 
     def add(self, prints: DataFrame) -> DataFrame:
         """Add a batch of fingerprints() as a run; returns (print) of the batch that occur elsewhere, in it or before it."""
-        found = prints.groupBy("print").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-        path, run = self._write(found.select("print", "text", (F.col("text") != F.col("other")).alias("many")))
-        hits = run.where("many").select("print")
-        for _, old in self.runs:
-            known = old.select("print", F.col("text").alias("old_text"), F.col("many").alias("old_many"))
-            hits = hits.unionByName(run.join(known.hint("merge"), "print").where("old_many or old_text <> text").select("print"))
+        placed = prints.repartition(self.buckets, "print").groupBy("print").agg(F.min("text").alias("text"), F.max("text").alias("other"))
+        earlier = list(self.runs)
+        new = self._write(placed.select("print", "text", (F.col("text") != F.col("other")).alias("many")))
+        hits = self.spark.table(new).where("many").select("print")
+        for old, _ in earlier:
+            hits = hits.unionByName(self.joined(new, old))
         hits = materialise(hits.distinct(), "hits")
-        self.runs.append((path, run))
         if len(self.runs) > self.fan_in:
             self.compact()
         return hits
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) < 2:
-            return
-        every = self.runs[0][1]
-        for _, run in self.runs[1:]:
-            every = every.unionByName(run)
-        merged = every.groupBy("print").agg(F.min("text").alias("text"), (F.max("many") | (F.min("text") != F.max("text"))).alias("many"))
-        old, self.runs = self.runs, [self._write(merged)]
-        for path, _ in old:
-            remove(self.spark, path)
+        """Merge all runs into one, two at a time, bucket by bucket."""
+        while len(self.runs) > 1:
+            (one, _), (two, _) = old = self.runs[:2]
+            a = self.spark.table(one).hint("merge")
+            b = self.spark.table(two).select("print", F.col("text").alias("text_b"), F.col("many").alias("many_b"))
+            both = a.join(b, "print", "full").select(
+                "print", F.coalesce(F.least("text", "text_b"), "text", "text_b").alias("text"),
+                (F.coalesce("many", F.lit(False)) | F.coalesce("many_b", F.lit(False)) | F.coalesce(F.col("text") != F.col("text_b"), F.lit(False))).alias("many"),
+            )
+            self._write(both)
+            self.runs = [*self.runs[2:-1], self.runs[-1]]
+            self._drop(old)
+            self.compactions += 1
 
     def drop(self) -> None:
-        for path, _ in self.runs:
-            remove(self.spark, path)
+        self._drop(self.runs)
         self.runs = []
 
 
@@ -244,25 +263,26 @@ def _cut_kernel(size: int):
 
 
 def judge_texts(docs: DataFrame, size: int, text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """A row (text, n_words, n_removed, digest, left) for each different text.
+    """A row (text, copies, n_words, n_removed, digest, left) for each different text.
 
-    ``text`` is the 64-bit hash of the text, ``left`` its words without those
+    ``text`` is the 64-bit hash of the text, which ``copies`` rows have, ``left`` its words without those
     in repeated windows, joined by spaces (null where nothing is removed, as
     the text stands then), ``digest`` their SHA-256.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
     index = FingerprintIndex(spark)
-    hits = prints = None
+    path = fresh_path(spark, "prints")
+    fingerprints(docs, size, text_col, batches).write.partitionBy("batch").parquet(path)
+    prints = spark.read.schema("print long, text long, batch int").parquet(path)
+    hits = None
     for b in range(batches):
-        batch = materialise(fingerprints(docs, size, text_col, batches, b), "prints")
-        found = index.add(batch)
+        found = index.add(prints.where(F.col("batch") == b).select("print", "text"))
         hits = found if hits is None else hits.unionByName(found)
-        prints = batch if prints is None else prints.unionByName(batch)
     hits = materialise(hits.distinct(), "hits")
     index.drop()
     of_text = prints.join(hits, "print").groupBy("text").agg(F.collect_set("print").alias("hits"))
-    packed = docs.select(F.col(text_col).alias("_text")).mapInArrow(_pack_kernel, "text long, packed binary")
+    packed = docs.select(quoted(text_col).alias("_text")).mapInArrow(_pack_kernel, "text long, packed binary")
     texts = packed.groupBy("text").agg(F.count("*").alias("copies"), F.first("packed").alias("packed"))
     scanned = texts.join(of_text, "text", "left").mapInArrow(_scan_kernel, "text long, copies long, n_words long, digest string, packed binary, hits array<bigint>")
     scanned = materialise(scanned, "texts")
@@ -274,20 +294,24 @@ def judge_texts(docs: DataFrame, size: int, text_col: str = "text", batches: int
     single = maybe.where("copies = 1")
     rows = single.select("text", "packed", "hits").mapInArrow(_window_kernel(size, False), f"{keys}, start int")
     starts = rows.join(repeated, ["one", "two"]).groupBy("text").agg(F.collect_list("start").alias("starts"))
-    cut = single.select("text", "n_words", "packed").join(starts, "text", "left").mapInArrow(_cut_kernel(size), "text long, n_words long, n_removed long, digest string, left string")
+    cut = single.select("text", "n_words", "packed").join(starts, "text", "left").mapInArrow(_cut_kernel(size), "text long, n_words long, n_removed long, digest string, left string").withColumn("copies", F.lit(1).cast("long"))
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= size)
     plain = scanned.where("copies > 1 or hits is null").select(
-        "text", "n_words", F.when(all_gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
+        "text", "copies", "n_words", F.when(all_gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
         F.when(all_gone, hashlib.sha256(b"").hexdigest()).otherwise(F.col("digest")).alias("digest"), F.when(all_gone, "").alias("left"),
     )
     return plain.unionByName(cut.withColumn("left", F.when(F.col("n_removed") > 0, F.col("left"))))
 
 
-def _keyed_kernel(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        hashed = pa.array(_longs([_text_hash(t) for t in byte_texts(part.column("_text"))]))
-        names = [n for n in part.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], hashed], [*names, "_key"])
+def _keyed_kernel(name: str):
+    """``batches``, the last column of which is a text, with the text's hash, as ``name``, in its place."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashed = pa.array(_longs([_text_hash(t) for t in byte_texts(part.column(part.num_columns - 1))]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], hashed], [*part.schema.names[:-1], name])
+
+    return run
 
 
 def removed_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,28 +321,28 @@ def removed_words(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_
     anywhere else, in the same text or in another row; windows are judged on
     the input. Null and empty texts have no words. Of rows with equal texts of
     at least ``size`` words nothing is left. Rows that repeat an id stay.
-    Texts are told apart by a 64-bit hash. Other columns play no part.
+    Texts are told apart by a 64-bit hash. Other columns play no part; an
+    empty table gives an empty one.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_keyed_kernel, f"_id {kind}, _key long")
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    keyed = rows.mapInArrow(_keyed_kernel("_key"), schema_of(rows, ["_id"], "_key long"))
     judged = materialise(judge_texts(docs, size, text_col).drop("left"), "judged").withColumnRenamed("text", "_key")
-    return keyed.join(judged, "_key").select(F.col("_id").alias(id_col), "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
-
-
-def _replace_kernel(text_name: str):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            hashed = pa.array(_longs([_text_hash(t) for t in byte_texts(part.column(text_name))]))
-            yield pa.RecordBatch.from_arrays([*part.columns, hashed], [*part.schema.names, "_key"])
-
-    return run
+    found = join_hot(keyed, judged, "_key", "copies", "_id")
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, text_col: str = "text") -> DataFrame:
-    """``docs`` without the words of repeated windows; a changed text has its words joined by spaces, and rows left without any of their words go."""
-    judged = materialise(judge_texts(docs, size, text_col).where("n_removed > 0").select("text", "n_words", "n_removed", "left"), "judged")
-    changed = judged.select(F.col("text").alias("_key"), F.struct("left", (F.col("n_removed") < F.col("n_words")).alias("some")).alias("_cut"))
-    shape = docs.drop("_key", "_cut")
-    keyed = shape.mapInArrow(_replace_kernel(text_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema) + ", _key long")
-    out = keyed.join(changed, "_key", "left").where("_cut is null or _cut.some")
-    return out.select(*[F.coalesce("_cut.left", F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in shape.columns])
+    """``docs`` without the words of repeated windows.
+
+    A changed text has its words joined by spaces, and rows left without any of
+    their words go, as rows with equal texts of at least ``size`` words do; null,
+    empty and short texts stay as they are. Rows that repeat stay where their
+    text does. Columns keep their values, whatever their names; an empty table
+    gives an empty one.
+    """
+    judged = materialise(judge_texts(docs, size, text_col).where("n_removed > 0").select("text", "copies", "n_words", "n_removed", "left"), "judged")
+    names = docs.columns
+    row = docs.select(F.struct(*[quoted(c) for c in names]).alias("row"), quoted(text_col).alias("words"))
+    keyed = row.mapInArrow(_keyed_kernel("key"), schema_of(row, ["row"], "key long")).withColumn("spread", F.xxhash64("key", *[F.col("row")[c] for c in names if "map<" not in docs.schema[c].dataType.simpleString()]))
+    cut = join_hot(keyed, judged.withColumnRenamed("text", "key"), "key", "copies", "spread").where("n_removed is null or n_removed < n_words")
+    return cut.select(*[F.coalesce("left", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
