@@ -328,7 +328,7 @@ def lttb(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
         return np.arange(n)
     if n_out < 3:
         raise ParameterError("down-sampling keeps three points at least")
-    edges = np.linspace(1, n - 1, n_out - 1).astype(int)
+    edges = bucket_edges(n, n_out)
     kept = [0]
     for i in range(n_out - 2):
         here = np.arange(edges[i], edges[i + 1])
@@ -338,3 +338,36 @@ def lttb(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
         area = np.abs((x[a] - cx) * (y[here] - y[a]) - (x[a] - x[here]) * (cy - y[a]))
         kept.append(int(here[np.argmax(area)]))
     return np.array([*kept, n - 1])
+
+
+def bucket_edges(n: int, n_out: int) -> np.ndarray:
+    """Positions where the buckets of lttb() begin; the last is that of the last point."""
+    return np.linspace(1, n - 1, n_out - 1).astype(int)
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the convex hull's corners among points in order of ``x``: a point on or inside a chord of its neighbours can't be one."""
+
+    def upper(v: np.ndarray) -> np.ndarray:
+        at = np.arange(len(x))
+        while len(at) > 2:
+            a, b, c = at[:-2], at[1:-1], at[2:]
+            out = (v[b] - v[a]) * (x[c] - x[a]) > (v[c] - v[a]) * (x[b] - x[a])
+            if out.all():
+                break
+            at = np.concatenate([at[:1], b[out], at[-1:]])
+        return at
+
+    return np.union1d(upper(y), upper(-y)) if len(x) else np.empty(0, np.int64)
+
+
+def lttb_of_hulls(first: tuple[float, float], buckets: list[tuple[np.ndarray, np.ndarray, float, float]], last: tuple[float, float]) -> list[float]:
+    """lttb() from the buckets' corners and means (x, y, mean x, mean y): the triangle's area is linear in its third point, so a corner has the largest."""
+    ax, ay = first
+    kept = [ax]
+    for i, (x, y, _, _) in enumerate(buckets):
+        cx, cy = buckets[i + 1][2:] if i + 1 < len(buckets) else last
+        best = int(np.argmax(np.abs((ax - cx) * (y - ay) - (ax - x) * (cy - ay))))
+        ax, ay = float(x[best]), float(y[best])
+        kept.append(ax)
+    return [*kept, last[0]]

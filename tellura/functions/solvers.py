@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 
@@ -29,6 +31,9 @@ def huber_weights(r: np.ndarray, k: float = 1.345) -> np.ndarray:
     return np.minimum(1.0, k / np.maximum(np.abs(r), 1e-300))
 
 
+#: Least scale of Huber's estimate, as a share of the first.
+FLOOR = 1e-4
+
 WEIGHTS = {"trimmed_mean": trimmed_mean, "bisquare": bisquare, "huber": huber_weights}
 
 
@@ -62,9 +67,13 @@ class OLS(Solver):
 
 @dataclass(frozen=True)
 class Huber(Solver):
-    """Huber's joint estimate of coefficients and scale: quadratic loss to ``epsilon`` scales, linear beyond."""
+    """Huber's joint estimate of coefficients and scale: quadratic loss to ``epsilon`` scales, linear beyond.
+
+    With an ``epsilon`` of 1 the loss falls as long as the scale does, towards
+    least absolute deviations; the scale stays above FLOOR of the first one.
+    """
 
-    epsilon: float = 1.35
+    epsilon: float = 1.0
     alpha: float = 1e-4
     max_iter: int = 200
 
@@ -73,19 +82,19 @@ class Huber(Solver):
             raise ParameterError("epsilon is 1 or more")
         b = least_squares(x, y)
         scale = max(float(np.median(np.abs(y - x @ b))), 1e-12)
-        ridge = np.sqrt(self.alpha * scale) * np.eye(x.shape[1])
+        floor = FLOOR * scale
         for _ in range(self.max_iter):
             r = np.abs(y - x @ b)
-            w = np.minimum(1.0, self.epsilon * scale / np.maximum(r, 1e-300))
-            root = np.sqrt(w)
+            root = np.sqrt(np.minimum(1.0, self.epsilon * scale / np.maximum(r, 1e-300)))
+            ridge = np.sqrt(self.alpha * scale) * np.eye(x.shape[1])
             new = np.linalg.lstsq(np.vstack([x * root[:, None], ridge]), np.concatenate([y * root, np.zeros(x.shape[1])]), rcond=None)[0]
             # the loss in the scale s is n s + sum of inner r^2 / s, less eps^2 s for each outer one
             r = np.abs(y - x @ new)
             outer = r > self.epsilon * scale
             free = len(y) - self.epsilon**2 * outer.sum()
             inner = float((r[~outer] ** 2).sum())
-            scale = max(np.sqrt(inner / free), 1e-12) if free > 0 and inner > 0 else scale * 0.9
-            done = np.abs(new - b).max() <= 1e-9 * max(1.0, np.abs(new).max())
+            before, scale = scale, max(np.sqrt(inner / free) if free > 0 and inner > 0 else scale * 0.9, floor)
+            done = np.abs(new - b).max() <= 1e-10 * max(1.0, np.abs(new).max()) and abs(scale - before) <= 1e-10 * before
             b = new
             if done:
                 break
@@ -116,23 +125,29 @@ def spatial_median(points: np.ndarray, max_iter: int = 300) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TheilSen(Solver):
-    """Spatial median of least-squares fits to random subsets of the rows."""
+    """Spatial median of least-squares fits to subsets of the rows.
+
+    Subsets hold as many rows as there are coefficients, or ``n_subsamples``,
+    a proportion of the rows. All subsets serve if they are no more than
+    ``max_subpopulation``, else so many that are drawn without repeats.
+    """
 
     max_subpopulation: int = 2000
-    n_subsamples: int | None = None
-    subsample_share: float = 0.05
+    n_subsamples: float | None = None
 
     def _solve(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         n, k = x.shape
-        size = self.n_subsamples or max(k, int(self.subsample_share * n))
-        size = min(max(size, k), n)
+        size = min(max(k, int(self.n_subsamples * n) if self.n_subsamples is not None else k), n)
         if size == n:
             return least_squares(x, y)
+        if math.comb(n, size) <= self.max_subpopulation:
+            draws = np.array(list(combinations(range(n), size)))
+        else:
+            draws = np.stack([rng.choice(n, size, replace=False) for _ in range(self.max_subpopulation)])
         fits = []
-        at_once = min(250, max(1, 5_000_000 // n))  # bounds memory; the draws are the same
-        for first in range(0, self.max_subpopulation, at_once):
-            count = min(at_once, self.max_subpopulation - first)
-            rows = np.argpartition(rng.random((count, n)), size - 1, axis=1)[:, :size]
+        at_once = max(1, 5_000_000 // (size * k * k))  # bounds memory; the draws are the same
+        for first in range(0, len(draws), at_once):
+            rows = draws[first : first + at_once]
             xs, ys = x[rows], y[rows]
             normal, right = np.einsum("sij,sik->sjk", xs, xs), np.einsum("sij,si->sj", xs, ys)
             ridge = 1e-12 * np.trace(normal, axis1=1, axis2=2)[:, None, None] / k * np.eye(k)

@@ -9,16 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tellura.errors import ChannelNotFoundError, ParameterError, ProcessRunError
 from tellura.functions import channels, kernels, timing
-from tellura.functions.frames import KEYS, SAMPLES, small
+from tellura.functions.frames import SAMPLES, small, written
 from tellura.functions.history import Process, Record
 from tellura.functions.timing import exact
 from tellura.operators.params import Recording, downsample_steps
@@ -65,13 +65,15 @@ class TimeData:
         return Subsection(str(from_time), str(to_time)).run(self)
 
     def timestamps(self) -> DataFrame:
-        """``df`` with ``time``, to the microsecond."""
-        out = None
-        for r in self.recordings:
-            time = timing.sample_time(F.col("sample"), r.fs, r.first_time)
-            here = (F.col("site") == r.site) & (F.col("meas") == r.meas)
-            out = F.when(here, time) if out is None else out.when(here, time)
-        return self.df.withColumn("time", out)
+        """``df`` with ``time``, to the microsecond: the first time and period of each recording are joined as whole and broken microseconds."""
+        def parts(r: Recording) -> tuple[int, float, int, float]:
+            first, step = r.start * 10**6, 10**6 / exact(r.fs)
+            return math.floor(first), float(first - math.floor(first)), math.floor(step), float(step - math.floor(step))
+
+        table = _by_recording(self, "_first long, _first_part double, _step long, _step_part double", parts)
+        rest = F.floor(F.col("sample").cast("double") * F.col("_step_part") + F.col("_first_part") + 0.5).cast("long")
+        micros = F.col("sample").cast("long") * F.col("_step") + F.col("_first") + rest
+        return self.df.join(table, ["site", "meas"]).withColumn("time", timing.ntz(micros)).select(*self.df.columns, "time")
 
     def chans_of_type(self, kind: str) -> list[str]:
         return [c for c in self.chans if channels.chan_type(c) == kind]
@@ -407,17 +409,61 @@ class Decimate(TimeProcess):
         return self._done(data, df.select(*data.df.columns), recordings)
 
 
-def lttb(df: DataFrame, max_pts: int | None, keys: tuple[str, ...] = ("site", "meas", "level", "chan")) -> DataFrame:
-    """Largest-triangle-three-buckets of each channel, for plots; all rows where ``max_pts`` is none or enough."""
+CORNERS = "place long, bucket long, x array<double>, y array<double>, sum_x double, sum_y double, n long"
+
+
+def lttb(df: DataFrame, max_pts: int | None, keys: tuple[str, ...] = ("site", "meas", "level", "chan"), part: int = 1 << 20) -> DataFrame:
+    """Largest-triangle-three-buckets of each channel, for plots; all rows where ``max_pts`` is none or enough.
+
+    Parts of a channel give their buckets' corners and sums; the walk from bucket to
+    bucket, one task a channel, sees these only, which is exact. Samples are
+    numbered without holes, as in time data; values of a plot are known.
+    """
     if max_pts is None:
         return df
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+    if max_pts < 3:
+        raise ParameterError("down-sampling keeps three points at least")
+    spans = df.groupBy(*keys).agg(F.min("sample").alias("_low"), F.max("sample").alias("_high"))
+    spans = written(spans, "spans")  # a row for each channel: its size is known when it is joined
+    if spans.where(f"_high - _low >= {max_pts}").limit(1).count() == 0:
+        return df
+    n = F.col("_high") - F.col("_low") + 1
+    at = F.col("sample") - F.col("_low")
+    # the bucket whose edge floor(1 + i * step) is the last at or before a position; the first and the last point stand alone
+    step = (n - 2) / F.lit(float(max_pts - 2))
+    guess = F.floor((at - 1) / step)
+    edge = lambda i: F.floor(i * step + 1)
+    inner = F.when(edge(guess + 1) <= at, guess + 1).when(edge(guess) > at, guess - 1).otherwise(guess)
+    bucket = F.when(at == 0, -1).when(at == n - 1, max_pts - 2).otherwise(F.least(inner, F.lit(max_pts - 3)))
+    rows = df.join(spans, list(keys)).where(n > max_pts).select(*keys, bucket.cast("long").alias("bucket"), F.floor(at / part).alias("place"), "sample", "value")
+
+    def corners(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("sample")
         x, y = (np.asarray(group.column(c).combine_chunks(), np.float64) for c in ("sample", "value"))
-        return group.take(pa.array(kernels.lttb(x, y, max_pts)))
-
-    return df.groupBy(*keys).applyInArrow(run, df.schema)
+        numbers, starts = np.unique(np.asarray(group.column("bucket").combine_chunks()), return_index=True)
+        cuts = [slice(p, q) for p, q in zip(starts, [*starts[1:], len(x)])]
+        kept = [kernels.hull(x[c], y[c]) + c.start for c in cuts]
+        same = {c: pa.array([v.as_py()] * len(cuts), group.schema.field(c).type) for c, v in zip((*keys, "place"), key)}
+        sums = {f"sum_{name}": [float(v[c].sum()) for c in cuts] for name, v in (("x", x), ("y", y))}
+        return pa.table({**same, "bucket": pa.array(numbers), "x": [x[k].tolist() for k in kept], "y": [y[k].tolist() for k in kept], **sums, "n": [c.stop - c.start for c in cuts]})
+
+    def walk(key: tuple, group: pa.Table) -> pa.Table:
+        held: dict[int, list[dict]] = {}
+        for r in group.sort_by([("bucket", "ascending"), ("place", "ascending")]).to_pylist():
+            held.setdefault(r["bucket"], []).append(r)
+        ends = [(held[i][0]["x"][0], held[i][0]["y"][0]) for i in (-1, max_pts - 2)]
+        # the walk's last mean is that of the last point alone, as its bucket holds no other
+        parts = [held[i] for i in range(max_pts - 2)]
+        points = [(np.concatenate([p["x"] for p in b]), np.concatenate([p["y"] for p in b]), *(sum(p[s] for p in b) / sum(p["n"] for p in b) for s in ("sum_x", "sum_y"))) for b in parts]
+        kept = kernels.lttb_of_hulls(ends[0], points, ends[1])
+        same = {c: pa.array([v.as_py()] * len(kept), group.schema.field(c).type) for c, v in zip(keys, key)}
+        return pa.table({**same, "sample": pa.array(np.array(kept).astype(np.int64))})
+
+    shape = [df.schema[c] for c in keys]
+    found = rows.groupBy(*keys, "place").applyInArrow(corners, StructType([*shape, *StructType.fromDDL(CORNERS).fields]))
+    kept = written(found.groupBy(*keys).applyInArrow(walk, StructType([*shape, *StructType.fromDDL("sample long").fields])), "kept")
+    whole = df.join(spans.where(n <= max_pts).select(*keys), list(keys), "left_semi")
+    return df.join(kept, [*keys, "sample"], "left_semi").unionByName(whole).select(*df.columns)
 
 
 PROCESSES = (Subsection, Add, Multiply, RemoveMean, InterpolateNans, ShiftTimestamps, ApplyFunction, LowPass, HighPass, BandPass, Notch, Resample, Decimate)

@@ -24,5 +24,35 @@ def test_theil_sen_draws_without_repeats():
     rng = np.random.default_rng(2)
     x, n = rng.normal(size=(30_000, 2)), 30_000
     y = x @ [2.0, -1.0] + rng.normal(size=n)
-    solver = solvers.TheilSen(max_subpopulation=20, n_subsamples=n - 1)
+    solver = solvers.TheilSen(max_subpopulation=20, n_subsamples=(n - 0.5) / n)
     assert np.allclose(solver._solve(x, y, np.random.default_rng(0)), solvers.least_squares(x, y), atol=1e-4)
+
+
+def test_theil_sen_withstands_outliers():
+    """A fifth of 15,000 rows is off: least squares goes astray, minimal subsets and their median do not."""
+    rng = np.random.default_rng(3)
+    x, want = rng.normal(size=(15_000, 4)), np.array([2.0, -1.0, 0.5, 3.0])
+    y = x @ want + 0.1 * rng.normal(size=15_000)
+    y[:3000] += 40 * x[:3000, 0]
+    assert np.abs(solvers.least_squares(x, y) - want).max() > 5
+    assert np.abs(solvers.TheilSen().solve(x, y) - want).max() < 0.3
+
+
+def test_theil_sen_takes_all_subsets_of_few_rows():
+    x = np.arange(1.0, 6.0)[:, None]
+    y = 2 * x[:, 0] + np.array([0.0, 0.0, 0.0, 0.0, 30.0])
+    assert np.allclose(solvers.TheilSen().solve(x, y), 2.0)
+
+
+def test_lttb_by_parts(spark):
+    """Corners of the buckets' parts lead to the points that the whole channel does, whatever the number of samples."""
+    rng = np.random.default_rng(5)
+    schema = "site string, meas string, level int, chan string, sample long, value double"
+    for n, points in ((1000, 50), (997, 100), (5003, 333), (40, 39), (30, 30), (20, 40)):
+        x = {"Ex": rng.normal(size=n).cumsum(), "Hx": rng.normal(size=n), "Hy": np.round(rng.normal(size=n), 1)}
+        df = spark.createDataFrame([("s", "m", 0, c, i + 7, float(v)) for c, y in x.items() for i, v in enumerate(y)], schema)
+        got = timeops.lttb(df, points, part=64).collect()
+        for c in ("Ex", "Hx"):
+            want = kernels.lttb(np.arange(n, dtype=float) + 7, x[c], points)
+            assert sorted(r["sample"] - 7 for r in got if r["chan"] == c) == want.tolist(), (n, points, c)
+        assert sum(r["chan"] == "Hy" for r in got) == min(n, points)
