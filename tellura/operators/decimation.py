@@ -31,6 +31,10 @@ class DecimatedData:
             raise ParameterError(f"level {level} is not within 0 to {self.n_levels - 1}")
         return self.levels[level]
 
+    @property
+    def history(self) -> tuple:
+        return self.levels[-1].history if self.levels else ()
+
     @property
     def df(self) -> DataFrame:
         return reduce(DataFrame.unionByName, (d.df for d in self.levels))
@@ -57,6 +61,7 @@ class Decimator(Process):
                 some = now.df.sparkSession.createDataFrame([(r.site, r.meas) for r in long], "site string, meas string")
                 now = replace(now, df=now.df.join(F.broadcast(some), ["site", "meas"]).select(*now.df.columns), recordings=long)
             df = now.df.withColumn("level", F.lit(level))
-            now = replace(now, df=written(df, f"level{level}") if step > 1 else df)
+            history = (*now.history, self.record(f"level {level}, factor {parameters.factors[level]}"))
+            now = replace(now, df=written(df, f"level{level}") if step > 1 else df, history=history)
             levels.append(now)
         return DecimatedData(tuple(levels), parameters)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellura.errors import ParameterError, SiteNotFoundError
+from tellura.errors import SiteNotFoundError
 from tellura.operators.params import DecimationParameters
 from tellura.operators.spectra import SpectraData
 
@@ -22,11 +22,18 @@ def site_windows(metadata: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Selection:
-    """``df``: (level, global_win, site, meas) of the windows that all ``sites`` hold."""
+    """``df``: (level, global_win, site, meas) of the windows that all ``sites`` hold; ``masks`` (eval_idx, global_win) leaves out some of a frequency."""
 
     df: DataFrame
     sites: tuple[str, ...]
     parameters: DecimationParameters
+    masks: DataFrame | None = None
+
+    def unmasked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (eval_idx, global_win, ...) without the masked ones."""
+        if self.masks is None:
+            return rows
+        return rows.join(self.masks.select("eval_idx", "global_win").distinct(), ["eval_idx", "global_win"], "left_anti")
 
     def n_wins(self) -> DataFrame:
         """(level, eval_idx, n_wins)"""
@@ -36,7 +43,8 @@ class Selection:
     def evals(self, rows: DataFrame | None = None) -> DataFrame:
         """Rows for each evaluation frequency of the level."""
         spread = F.explode(F.sequence(F.lit(0), F.lit(self.parameters.per_level - 1)))
-        return (self.df if rows is None else rows).withColumn("freq_idx", spread).withColumn("eval_idx", F.col("level") * self.parameters.per_level + F.col("freq_idx"))
+        every = (self.df if rows is None else rows).withColumn("freq_idx", spread).withColumn("eval_idx", F.col("level") * self.parameters.per_level + F.col("freq_idx"))
+        return self.unmasked(every)
 
     def measurements(self) -> DataFrame:
         return self.df.select("site", "meas").distinct()
@@ -50,7 +58,7 @@ class Selector:
     """Windows of levels that all sites reach, held by all of them: one count over (level, window), not a join for each site."""
 
     def run(self, metadata: DataFrame, sites: list[str], parameters: DecimationParameters, masks: DataFrame | None = None) -> Selection:
-        """``masks`` (level, global_win): windows to leave out."""
+        """``masks`` (level, global_win), or (eval_idx, global_win): windows to leave out, of a level or of one evaluation frequency."""
         names = sorted(set(sites))
         here = site_windows(metadata.where(F.col("site").isin(names)))
         n_levels = metadata.where(F.col("site").isin(names)).groupBy("site").agg((F.max("level") + 1).alias("n")).agg(F.min("n").alias("n"), F.count("*").alias("s")).first()
@@ -58,9 +66,9 @@ class Selector:
             raise SiteNotFoundError(f"not all of {names} have evaluations")
         held = here.where(F.col("level") < n_levels["n"])
         common = held.groupBy("level", "global_win").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("site", "meas"))).alias("by_site")).where(F.col("n") == len(names))
-        if masks is not None:
-            common = common.join(masks.select("level", "global_win").distinct(), ["level", "global_win"], "left_anti")
-        return Selection(common.select("level", "global_win", F.explode("by_site").alias("site", "meas")), tuple(names), parameters)
+        if masks is not None and "eval_idx" not in masks.columns:
+            common, masks = common.join(masks.select("level", "global_win").distinct(), ["level", "global_win"], "left_anti"), None
+        return Selection(common.select("level", "global_win", F.explode("by_site").alias("site", "meas")), tuple(names), parameters, masks)
 
 
 @dataclass(frozen=True)
@@ -101,7 +109,7 @@ class ProjectGather:
         used = selection.df.select("site", "meas", "level", "global_win")
         rows = evals.long().join(used, ["site", "meas", "level", "global_win"])
         rows = rows.withColumn("eval_idx", F.col("level") * selection.parameters.per_level + F.col("freq_idx"))
-        return _values(rows, {"out": (out_site, tf.out_chans), "in": (in_site, tf.in_chans), "cross": (cross_site, tf.cross_chans)})
+        return _values(selection.unmasked(rows), {"out": (out_site, tf.out_chans), "in": (in_site, tf.in_chans), "cross": (cross_site, tf.cross_chans)})
 
 
 @dataclass(frozen=True)
@@ -113,8 +121,13 @@ class QuickGather:
         return _values(rows, {"out": (None, tf.out_chans), "in": (None, tf.in_chans), "cross": (None, tf.cross_chans)})
 
 
+def site_spans(recordings: DataFrame) -> DataFrame:
+    """(site, begin, end, n_meas) from ``recordings`` (site, first_time, last_time, ...), a row for each measurement; a site without any has none."""
+    return recordings.groupBy("site").agg(F.min("first_time").alias("begin"), F.max("last_time").alias("end"), F.count("*").alias("n_meas"))
+
+
 def concurrent(recordings: DataFrame, site: str) -> DataFrame:
     """Other sites (site, begin, end) whose recordings meet those of ``site``, ends included."""
-    spans = recordings.groupBy("site").agg(F.min("first_time").alias("begin"), F.max("last_time").alias("end"))
+    spans = site_spans(recordings).drop("n_meas")
     own = spans.where(F.col("site") == site).select(F.col("begin").alias("_a"), F.col("end").alias("_b"))
     return spans.where(F.col("site") != site).join(F.broadcast(own), (F.col("begin") <= F.col("_b")) & (F.col("end") >= F.col("_a"))).select("site", "begin", "end")

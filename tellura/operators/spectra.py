@@ -37,6 +37,7 @@ class SpectraData:
     df: DataFrame
     freqs: dict[int, tuple[float, ...]]
     windows: WindowedData | None = None
+    history: tuple = ()
 
     @property
     def n_levels(self) -> int:
@@ -116,7 +117,7 @@ class FourierTransform(Process):
             window, n = kernels.taper(self.win_fnc, size), kernels.next_fast_len(size)
             parts.append(packed.mapInArrow(_transform_kernel(window, self.detrend, n), PACKED))
             freqs[level] = tuple(bin_freqs(size, data.fs[level]).tolist())
-        return SpectraData(reduce(DataFrame.unionByName, parts), freqs, data)
+        return SpectraData(reduce(DataFrame.unionByName, parts), freqs, data, (*data.history, self.record("spectra of whole windows")))
 
     def evals(self, data: WindowedData, parameters: DecimationParameters) -> SpectraData:
         """Values at the evaluation frequencies in one grouped sum; equal to run() and EvaluationFreqs."""
@@ -125,17 +126,17 @@ class FourierTransform(Process):
             size = next(g.win_size for k, g in data.grids.items() if k[2] == level)
             freqs[level] = tuple(parameters.level_freqs(level))
             parts.append(one_pass(data.get_level(level), eval_weights(size, data.fs[level], freqs[level], self.win_fnc), self.detrend))
-        return SpectraData(reduce(DataFrame.unionByName, parts), freqs, data)
+        return SpectraData(reduce(DataFrame.unionByName, parts), freqs, data, (*data.history, self.record("values at the evaluation frequencies")))
 
 
-def one_pass(rows: DataFrame, weights: np.ndarray, detrend: str | None) -> DataFrame:
-    """(re, im) arrays of each window of ``rows`` (WIN, pos, value): sums of value times constant, less the trend's share."""
+def one_pass(rows: DataFrame, weights: np.ndarray, detrend: str | None, keys: tuple[str, ...] = WIN) -> DataFrame:
+    """(re, im) arrays of each window (by ``keys``) of ``rows`` (keys, pos, value): sums of value times constant, less the trend's share."""
     n_freqs, size = weights.shape
     pos, v = F.col("pos"), F.col("value").cast("double")
     pick = lambda w: F.element_at(double_array(w), pos + 1)
     sums = [F.sum(v * pick(x)).alias(f"{part}{k}") for k in range(n_freqs) for part, x in (("re", weights[k].real), ("im", weights[k].imag))]
     centre = (size - 1) / 2
-    grouped = rows.groupBy(*WIN).agg(*sums, F.avg(v).alias("_mean"), F.sum(v * (pos - centre)).alias("_slope"))
+    grouped = rows.groupBy(*keys).agg(*sums, F.avg(v).alias("_mean"), F.sum(v * (pos - centre)).alias("_slope"))
     spread = float(((np.arange(size) - centre) ** 2).sum()) or 1.0
 
     def value(k: int, part: str) -> Column:
@@ -147,7 +148,7 @@ def one_pass(rows: DataFrame, weights: np.ndarray, detrend: str | None) -> DataF
             out = out - F.col("_slope") * float((w * (np.arange(size) - centre)).sum() / spread)
         return out
 
-    return grouped.select(*WIN, *[F.array(*[value(k, part) for k in range(n_freqs)]).alias(part) for part in ("re", "im")])
+    return grouped.select(*keys, *[F.array(*[value(k, part) for k in range(n_freqs)]).alias(part) for part in ("re", "im")])
 
 
 def _rows(column: pa.Array) -> np.ndarray:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellura.errors import ParameterError
 from tellura.functions.channels import component_key
+from tellura.functions.history import Record
 from tellura.operators.spectra import unwrapped
 
 _types: dict[str, type["TransferFunction"]] = {}
@@ -133,12 +134,14 @@ class Solution:
         return [[rows.get((o, i), complex(math.nan, math.nan)) for i in self.tf.in_chans] for o in self.tf.out_chans]
 
     def write(self, path: str) -> None:
-        """One JSON line for each component and the transfer function beside them."""
-        described = self.df.withColumn("tf", F.lit(json.dumps(self.tf.to_dict())))
+        """One JSON line for each component, with the transfer function and the history beside them."""
+        told = json.dumps([asdict(r) for r in self.history])
+        described = self.df.withColumn("tf", F.lit(json.dumps(self.tf.to_dict()))).withColumn("history", F.lit(told))
         described.coalesce(1).write.mode("overwrite").json(path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Solution":
-        rows = spark.read.schema("eval_idx int, freq double, period double, out_chan string, in_chan string, re double, im double, tf string").json(path)
-        first = rows.select("tf").first()
-        return Solution(rows.drop("tf"), from_dict(json.loads(first["tf"])))
+        rows = spark.read.schema("eval_idx int, freq double, period double, out_chan string, in_chan string, re double, im double, tf string, history string").json(path)
+        first = rows.select("tf", "history").first()
+        history = tuple(Record(**{**r, "messages": tuple(r["messages"])}) for r in json.loads(first["history"] or "[]"))
+        return Solution(rows.drop("tf", "history"), from_dict(json.loads(first["tf"])), history)

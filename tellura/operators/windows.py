@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tellura.errors import ParameterError
 from tellura.functions.frames import small
+from tellura.functions.history import record
 from tellura.operators.decimation import DecimatedData
 from tellura.operators.params import WindowGrid, WindowParameters, WindowTarget
 
@@ -24,6 +25,7 @@ class WindowedData:
     grids: dict[tuple[str, str, int], WindowGrid]
     ref_time: str
     fs: tuple[float, ...]
+    history: tuple = ()
 
     @property
     def n_levels(self) -> int:
@@ -72,7 +74,8 @@ class Windower:
         parts = [assign_windows(d.df, {k: g for k, g in grids.items() if k[2] == lev}) for lev, d in enumerate(data.levels) if any(k[2] == lev for k in grids)]
         if not parts:
             raise ParameterError("no level has enough windows")
-        return WindowedData(reduce(DataFrame.unionByName, parts), grids, ref_time, tuple(d.fs for d in data.levels))
+        told = record({"name": "Windower", "ref_time": ref_time}, f"{len(parts)} levels in windows")
+        return WindowedData(reduce(DataFrame.unionByName, parts), grids, ref_time, tuple(d.fs for d in data.levels), (*data.history, told))
 
     def grids(self, ref_time: str, data: DecimatedData, parameters: WindowParameters | WindowTarget) -> dict[tuple[str, str, int], WindowGrid]:
         out = {}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tellura.errors import CalibrationFileNotFound, CalibrationFileReadError, SiteNotFoundError, TelluraError, TimeDataReadError
 from tellura.operators.decimation import DecimatedData
@@ -80,7 +80,13 @@ def evals_of(config: Configuration, data: TimeData, ref_time: str) -> tuple[Spec
 def tf_of(config: Configuration, data: TimeData, ref_time: str | None = None) -> Solution:
     """Transfer function of one recording."""
     evals, parameters = evals_of(config, data, ref_time or data.recordings[0].first_time)
-    return config.solver.run(QuickGather().run(evals, parameters, config.tf), config.tf, parameters)
+    return _solved(config, QuickGather().run(evals, parameters, config.tf), evals, parameters)
+
+
+def _solved(config: Configuration, gathered: DataFrame, evals: SpectraData, parameters: DecimationParameters) -> Solution:
+    """The solution, with the history of the evaluation values before its own."""
+    solution = config.solver.run(gathered, config.tf, parameters)
+    return replace(solution, history=(*evals.history, *solution.history))
 
 
 def quick_view(spark: SparkSession, path: str | Path, config: Configuration | None = None, decimate: bool = False) -> TimeData | DecimatedData:
@@ -102,7 +108,7 @@ def quick_tf(spark: SparkSession, path: str | Path, config: Configuration | None
     if calibration_path is not None:
         meta = TimeMetadata.from_json((Path(path) / "metadata.json").read_text())
         evals, _ = run_sensor_calibration(config, calibration_path, meta, evals)
-    return config.solver.run(QuickGather().run(evals, parameters, config.tf), config.tf, parameters)
+    return _solved(config, QuickGather().run(evals, parameters, config.tf), evals, parameters)
 
 
 def process_time(spark: SparkSession, proj: Project, config: Configuration, site: str, meas: str, **bounds: object) -> TimeData:
@@ -118,24 +124,22 @@ def process_time_to_evals(spark: SparkSession, proj: Project, config: Configurat
     evals, _ = evals_of(config, data, proj.ref_time)
     evals, _ = run_sensor_calibration(config, projects.calibration_path(proj.root), m.metadata, evals)
     folder = projects.meas_path(proj.root, "evals", site, meas, config.name)
-    write_table(evals.df, f"{folder}/evals", by=("level",))
+    write_table(evals.df, f"{folder}/evals", by=())
     evals.windows.metadata().write.mode("overwrite").parquet(f"{folder}/windows")
 
 
 def stored_evals(spark: SparkSession, proj: Project, config: Configuration, fs: float, sites: Iterable[str]) -> tuple[SpectraData, DataFrame]:
     """Stored evaluation values of measurements at ``fs``, and their windows; measurements without any are left out."""
-    tables, windows = [], []
-    for name in sorted(set(sites)):
-        for meas in proj.get_site(name).get_measurements(fs):
-            folder = projects.meas_path(proj.root, "evals", name, meas, config.name)
-            if (folder / "windows").exists():
-                tables.append(spark.read.parquet(f"{folder}/evals"))
-                windows.append(spark.read.parquet(f"{folder}/windows"))
-    if not tables:
+    folders = [projects.meas_path(proj.root, "evals", name, meas, config.name) for name in sorted(set(sites)) for meas in proj.get_site(name).get_measurements(fs)]
+    stored = [f for f in folders if (f / "windows").exists()]
+    if not stored:
         raise SiteNotFoundError(f"no evaluations at {fs} Hz for {sorted(set(sites))}")
+    # one scan of all measurements' files each
+    evals = spark.read.parquet(*[str(f / "evals") for f in stored])
+    windows = spark.read.parquet(*[str(f / "windows") for f in stored])
     parameters = config.dec_setup.run(fs)
     freqs = {level: tuple(parameters.level_freqs(level)) for level in range(parameters.n_levels)}
-    return SpectraData(reduce(DataFrame.unionByName, tables), freqs), reduce(DataFrame.unionByName, windows)
+    return SpectraData(evals, freqs), windows
 
 
 def process_evals_to_tf(
@@ -147,7 +151,7 @@ def process_evals_to_tf(
     parameters = config.dec_setup.run(fs)
     selection = Selector().run(windows, list(roles.sites()), parameters, masks)
     gathered = ProjectGather().run(selection, evals, config.tf, roles)
-    solution = config.solver.run(gathered, config.tf, parameters)
+    solution = _solved(config, gathered, evals, parameters)
     solution.write(str(solution_path(proj, config, fs, out_site, postfix)))
     return solution
 

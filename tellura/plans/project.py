@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tellura.errors import MeasurementNotFoundError, ProjectCreateError, ProjectLoadError, SiteNotFoundError, TelluraError
 from tellura.functions import timing
 from tellura.functions.channels import fs_to_string
-from tellura.operators.gather import concurrent
+from tellura.operators.gather import concurrent, site_spans
 from tellura.operators.params import Recording
 from tellura.plans.config import Configuration, default_configuration
 from tellura.sources.store import TimeMetadata, TimeReader, dir_subdirs
@@ -114,8 +113,12 @@ class Project:
         return spark.createDataFrame(rows, "site string, meas string, fs double, n_samples long, first_time string, last_time string")
 
     def spans(self, spark: SparkSession) -> DataFrame:
-        """Begin and end of each site; a site without data has none."""
-        return self.to_dataframe(spark).groupBy("site").agg(F.min("first_time").alias("begin"), F.max("last_time").alias("end"))
+        """Begin, end and number of measurements of each site; a site without data has none."""
+        return site_spans(self.to_dataframe(spark))
+
+    def timeline(self, spark: SparkSession) -> DataFrame:
+        """Measurements in order of sampling frequency, site and begin: the table behind a plot of the project's times."""
+        return self.to_dataframe(spark).orderBy("fs", "site", "first_time", "meas")
 
     def get_concurrent(self, spark: SparkSession, site: str) -> DataFrame:
         return concurrent(self.to_dataframe(spark), site)

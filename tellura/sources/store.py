@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,8 +160,8 @@ class TimeMetadata:
             raw = json.loads(text)
             known = ChanMetadata.__dataclass_fields__
             chans = {k: ChanMetadata(**{n: tuple(x) if isinstance(x, list) else x for n, x in v.items() if n in known}) for k, v in raw.get("chans_metadata", {}).items()}
-            own = {k: v for k, v in raw.items() if k in TimeMetadata.__dataclass_fields__ and k not in ("chans_metadata", "history")}
-            return TimeMetadata(**{**own, "chans": tuple(raw["chans"]), "chans_metadata": chans})
+            own = {k: v for k, v in raw.items() if k in TimeMetadata.__dataclass_fields__ and k != "chans_metadata"}
+            return TimeMetadata(**{**own, "chans": tuple(raw["chans"]), "chans_metadata": chans, "history": tuple(raw.get("history", ()))})
         except (ValueError, KeyError, TypeError) as error:
             raise MetadataReadError(str(error)) from error
 
@@ -215,10 +217,13 @@ class TimeReaderNumpy(TimeReader):
     extension: str = ".npy"
 
     def rows(self, spark: SparkSession, path: Path, meta: TimeMetadata, a: int, b: int) -> DataFrame:
+        """Channels that name the same file are its rows, in order; a file of one channel may be one row or a plain array."""
         spark.dataSource.register(NpySource)
-        name = next(f for c in meta.chans_metadata.values() for f in c.data_files or ("data.npy",))
-        rows = spark.read.format("tellura_npy").options(path=str(path / name), chans=",".join(meta.chans), from_sample=a, to_sample=b).load()
-        return rows.withColumn("sample", F.col("sample") - a)
+        files: dict[str, list[str]] = {}
+        for c in meta.chans:
+            files.setdefault((meta.chans_metadata[c].data_files or ("data.npy",))[0], []).append(c)
+        parts = [spark.read.format("tellura_npy").options(path=str(path / name), chans=",".join(chans), from_sample=a, to_sample=b).load() for name, chans in files.items()]
+        return reduce(DataFrame.unionByName, parts).withColumn("sample", F.col("sample") - a)
 
 
 @dataclass(frozen=True)
@@ -237,34 +242,35 @@ class TimeReaderAscii(TimeReader):
 
 @dataclass(frozen=True)
 class TimeWriterNumpy(Process):
-    """data.npy and metadata.json, one folder for each measurement; ``data`` has one recording."""
+    """data.npy and metadata.json, one folder for each measurement; ``data`` has one recording.
+
+    The file is laid out first and tasks write their ranges of samples into
+    it, so the folder is one that all executors share; what no row covers is NaN.
+    """
 
     overwrite: bool = True
+    block: int = 1 << 20
 
     def run(self, path: str | Path, meta: TimeMetadata, data: TimeData) -> None:
         folder = target(path, self.overwrite)
-        array = np.full((meta.n_chans, data.recordings[0].n_samples), np.nan)
+        n, file, block = data.recordings[0].n_samples, str(Path(folder).absolute() / "data.npy"), self.block
+        array = np.lib.format.open_memmap(file, mode="w+", dtype=np.float64, shape=(meta.n_chans, n))
+        for a in range(0, n, block):
+            array[:, a : a + block] = np.nan
+        array.flush()
         row = {c: i for i, c in enumerate(meta.chans)}
-        for batch in _batches(data.df.select("chan", "sample", "value")):
-            array[[row[c] for c in batch["chan"]], batch["sample"]] = batch["value"]
-        np.save(folder / "data.npy", array)
-        named = {c: replace(m, data_files=("data.npy",)) for c, m in meta.chans_metadata.items()}
-        done = replace(meta, chans_metadata=named, n_samples=array.shape[1], first_time=data.recordings[0].first_time, history=(*meta.history, asdict(record(self.to_dict(), "written"))))
-        (folder / "metadata.json").write_text(done.to_json())
-
 
-def _batches(df: DataFrame):
-    """Partitions of ``df`` one after the other as pandas tables: an export to one file goes through the driver."""
-    import pandas as pd
+        def write(key: tuple, group: pa.Table) -> pa.Table:
+            held = np.load(file, mmap_mode="r+")
+            held[row[key[0].as_py()], np.asarray(group.column("sample").combine_chunks())] = np.asarray(group.column("value").combine_chunks(), np.float64)
+            held.flush()
+            return pa.table({"n": [group.num_rows]})
 
-    names, held = df.columns, []
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(r))
-        if len(held) == 200_000:
-            yield pd.DataFrame(held, columns=names)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=names)
+        dealt = data.df.select("chan", F.floor(F.col("sample") / block).alias("block"), "sample", "value")
+        dealt.groupBy("chan", "block").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+        named = {c: replace(m, data_files=("data.npy",)) for c, m in meta.chans_metadata.items()}
+        done = replace(meta, chans_metadata=named, n_samples=n, first_time=data.recordings[0].first_time, history=(*meta.history, asdict(record(self.to_dict(), "written"))))
+        (folder / "metadata.json").write_text(done.to_json())
 
 
 @dataclass(frozen=True)
@@ -281,10 +287,17 @@ class TimeWriterAscii(Process):
         (folder / "metadata.json").write_text(meta.to_json())
 
 
+#: Samples, or windows, of a part of a stage's table.
+PART = {"sample": 1 << 22, "global_win": 1 << 14}
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = True, by: tuple[str, ...] = ("site", "meas", "level")) -> None:
-    """A stage's table as Parquet, a folder for each of ``by``, so that a read of some prunes the others."""
+    """A stage's table as Parquet, a folder for each of ``by``, so that a read of some prunes the others; ranges of samples or windows are files of their own."""
     keys = [c for c in by if c in df.columns]
-    df.repartition(*keys).write.mode("overwrite" if overwrite else "error").partitionBy(*keys).parquet(path)
+    ranges = [F.floor(F.col(c) / n) for c, n in PART.items() if c in df.columns][:1]
+    dealt = df.repartition(*keys, *ranges) if keys or ranges else df
+    writer = dealt.write.mode("overwrite" if overwrite else "error")
+    (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:

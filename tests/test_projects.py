@@ -12,10 +12,11 @@ from tellura.errors import CalibrationFileNotFound, ParameterError, ProjectCreat
 from tellura.operators import regression
 from tellura.operators.params import DecimationSetup, WindowSetup
 from tellura.operators.spectra import SpectraSmootherUniform
-from tellura.operators.timeops import BandPass, InterpolateNans, Multiply
+from tellura.operators.timeops import BandPass, InterpolateNans, Multiply, TimeData
+from tellura.operators.transfer import Solution, TransferFunction
 from tellura.plans import pipeline, project
 from tellura.plans.config import Configuration
-from tellura.sources import store
+from tellura.sources import stages, store
 from tellura.sources.calibration import SensorCalibrationJSON, SensorCalibrationTXT, calibration_table
 from tellura.sources.store import ChanMetadata, TimeMetadata, TimeReaderAscii, TimeReaderNumpy, TimeWriterAscii, TimeWriterNumpy
 
@@ -116,3 +117,54 @@ def test_project_with_remote_reference(spark, tmp_path):
     quick = pipeline.quick_tf(spark, root / "time/local/m1", config)
     assert np.allclose(quick.tensor(0), [[0, 2], [-3, 0]], atol=1e-6)
     assert quick.component("ExHy").where(F.abs(F.col("re") - 2) < 1e-6).count() == 3
+
+
+def test_channels_in_files_of_their_own(spark, tmp_path):
+    """Files of one channel, plain or with one row, beside a file of two."""
+    x = np.random.default_rng(1).normal(size=(4, 60))
+    np.save(tmp_path / "both.npy", x[:2])
+    np.save(tmp_path / "row.npy", x[2:3])
+    np.save(tmp_path / "plain.npy", x[3])
+    files = {"Ex": "both.npy", "Hx": "row.npy", "Ey": "both.npy", "Hy": "plain.npy"}
+    meta = TimeMetadata(16.0, tuple(files), 60, "2020-01-01", chans_metadata={c: ChanMetadata(c, (f,)) for c, f in files.items()})
+    (tmp_path / "metadata.json").write_text(meta.to_json())
+    d = TimeReaderNumpy().run(spark, tmp_path, from_sample=10)
+    for chan, row in {"Ex": x[0], "Ey": x[1], "Hx": x[2], "Hy": x[3]}.items():
+        assert np.array_equal([r["value"] for r in d.get_chan(chan).orderBy("sample").collect()], row[10:])
+
+
+def test_numpy_writer_leaves_gaps(spark, tmp_path):
+    """Blocks are written apart; samples without a row are NaN."""
+    meta = TimeMetadata(16.0, ("Ex", "Hx"), 50, "2020-01-01")
+    rows = [("s", "m", 0, c, i, float(i)) for c in ("Ex", "Hx") for i in range(50) if not (c == "Hx" and 10 <= i < 30)]
+    df = spark.createDataFrame(rows, "site string, meas string, level int, chan string, sample long, value double")
+    TimeWriterNumpy(block=8).run(tmp_path / "n", meta, TimeData(df, (meta.recording("s", "m"),)))
+    x = np.load(tmp_path / "n/data.npy")
+    assert np.array_equal(x[0], np.arange(50.0)) and np.isnan(x[1, 10:30]).all() and np.array_equal(x[1, 30:], np.arange(30.0, 50.0))
+
+
+def test_stages_come_back_with_their_histories(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    _numpy_folder(tmp_path / "a", rng.normal(size=(2, 3000)), ("Ex", "Hx"))
+    data = pipeline.run_time_processors(Configuration(), TimeReaderNumpy().run(spark, tmp_path / "a", "s", "m"))
+    config = Configuration(dec_setup=DecimationSetup(n_levels=2, per_level=3))
+    decimated = pipeline.run_decimation(config, data)
+    windowed = pipeline.run_windowing(config, decimated, "2020-01-01")
+    evals = pipeline.run_evals(config, windowed, config.dec_setup.run(16.0))
+    for name, stage in (("d", decimated), ("w", windowed), ("e", evals)):
+        stages.write_stage(stage, tmp_path / name)
+        told = stages.read_metadata(tmp_path / name)
+        again = stages.read_stage(spark, tmp_path / name)
+        assert told["stage"] == type(stage).__name__ and type(again) is type(stage) and again.history == stage.history
+        assert [json.loads(r.creator)["name"] for r in again.history][:3] == ["TimeReaderNumpy", "InterpolateNans", "RemoveMean"]
+        names = stage.df.columns
+        plain = lambda df: sorted(map(str, df.select(*names).collect()))
+        assert plain(again.df) == plain(stage.df)
+    assert stages.read_stage(spark, tmp_path / "d").parameters == decimated.parameters
+    assert stages.read_stage(spark, tmp_path / "w").grids == windowed.grids
+    assert stages.read_stage(spark, tmp_path / "e").freqs == evals.freqs
+    solved = pipeline.tf_of(Configuration(dec_setup=DecimationSetup(n_levels=1, per_level=3), solver=regression.SolverOLS(), tf=TransferFunction(("Ex",), ("Hx",))), data)
+    solved.write(str(tmp_path / "s.json"))
+    assert [json.loads(r.creator)["name"] for r in Solution.read(spark, str(tmp_path / "s.json")).history][-1] == "SolverOLS" and len(solved.history) > 5
+    with pytest.raises(WriteError):
+        stages.write_stage(windowed, tmp_path / "w", overwrite=False)
