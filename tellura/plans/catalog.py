@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.functions import channels, kernels
+from tellura.functions import channels, kernels, solvers
 from tellura.operators import gather, params, regression, spectra, timeops, transfer
 from tellura.operators.calibration import CalibrationData, SensorCalibrator
-from tellura.operators.decimation import DecimatedData, Decimator
+from tellura.operators.decimation import Decimator
 from tellura.operators.windows import Windower, WindowedData
 from tellura.plans import pipeline, tables
 from tellura.plans.config import Configuration
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tellura.plans.registry import ORACLES, QUERIES, query, r6, rounded
 
 IMPEDANCE, TIPPER = transfer.ImpedanceTensor(), transfer.Tipper()
 TO_TIPPER = transfer.TransferFunction(("Ex", "Ey", "Hz"), ("Hx", "Hy"))
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def r6(x: Column | str, digits: int = 6) -> Column:
-    return F.round(x, digits) + 0.0
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: r6(F.col(n), digits) for n in names})
-
-
 # --- SQL of the recordings -------------------------------------------------
 
 _LINE = """li AS (
@@ -123,8 +103,8 @@ SELECT chan, CASE WHEN chan IN ('Ex', 'Ey', 'E1', 'E2', 'E3', 'E4') THEN 'electr
   count(DISTINCT event_type) AS n FROM c, events GROUP BY chan""")
 def proj_chan_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(c,) for c in ("Ex", "Ey", "Hx", "Hy", "Hz", "Bz", "E4", "T1")], "chan string")
-    kinds = tables.table(spark, sf_dir, "events").agg(F.countDistinct("event_type").alias("n"))
-    return names.join(F.broadcast(kinds)).select("chan", channels.chan_type_column(F.col("chan")).alias("chan_type"), "n")
+    kinds = tables.table(spark, sf_dir, "events").select("event_type").where("event_type is not null").distinct().count()
+    return names.select("chan", channels.chan_type_column(F.col("chan")).alias("chan_type"), F.lit(kinds).cast("long").alias("n"))
 
 
 @query(f"""WITH {_LINE} SELECT chan, sample - 104 AS sample, round(value, 6) AS value FROM s WHERE sample BETWEEN 104 AND 992 AND value IS NOT NULL""")
@@ -156,9 +136,11 @@ def proj_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 's' || user_id % 3 AS site, count(DISTINCT CASE WHEN day(ts) <= 15 THEN 'm0' ELSE 'm1' END) AS n_meas, min(ts) AS begin_time, max(ts) AS end_time, count(*) AS n FROM events GROUP BY 1""")
 def agg_site_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "events").where("ts is not null")
-    meas = F.when(F.dayofmonth("ts") <= 15, "m0").otherwise("m1")
-    return rows.groupBy(F.concat(F.lit("s"), F.pmod("user_id", F.lit(3))).alias("site")).agg(F.countDistinct(meas).alias("n_meas"), F.min("ts").alias("begin_time"), F.max("ts").alias("end_time"), F.count("*").alias("n"))
+    meas = F.when(F.dayofmonth("ts") <= 15, "m0").otherwise("m1").alias("meas")
+    site = F.concat(F.lit("s"), F.pmod("user_id", F.lit(3))).alias("site")
+    rows = tables.table(spark, sf_dir, "events").where("ts is not null").groupBy(site, meas).agg(F.min("ts").alias("first_time"), F.max("ts").alias("last_time"), F.count("*").alias("n"))
+    spans = gather.site_spans(rows).join(rows.groupBy("site").agg(F.sum("n").alias("n")), "site")
+    return spans.select("site", "n_meas", F.col("begin").alias("begin_time"), F.col("end").alias("end_time"), "n")
 
 
 @query("""WITH spans AS (SELECT o_custkey AS c, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1), own AS (SELECT a, b FROM spans WHERE c = 7)
@@ -169,7 +151,7 @@ def concurrent_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gather.concurrent(orders, "c7").withColumnsRenamed({"begin": "begin_time", "end": "end_time"})
 
 
-@query(f"WITH {_LINE} SELECT chan, sample, round(value - avg(value) OVER (PARTITION BY chan), 6) AS value FROM s WHERE chan = 'Hz'")
+@query(f"WITH {_LINE} SELECT chan, sample, round(value - avg(value) OVER (PARTITION BY chan), 6) AS value FROM s WHERE value IS NOT NULL")
 def agg_remove_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(timeops.RemoveMean().run(tables.line(spark, sf_dir)))
 
@@ -185,7 +167,7 @@ def shift_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(timeops.ShiftTimestamps(0.02).run(tables.line_clean(spark, sf_dir)))
 
 
-@query(f"""WITH {_CLEAN} SELECT chan, sample, round(CASE WHEN chan = 'Ex' THEN value * value / 7 ELSE value END, 5) AS value FROM clean WHERE chan IN ('Ex', 'Hy')""")
+@query(f"""WITH {_CLEAN} SELECT chan, sample, round(CASE WHEN chan = 'Ex' THEN value * value / 7 ELSE value END, 5) AS value FROM clean""")
 def apply_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeops.ApplyFunction({"Ex": lambda x: x * x / 7}).run(tables.line_clean(spark, sf_dir)).df.select("chan", "sample", "value"), "value", digits=5)
 
@@ -204,22 +186,91 @@ def resample_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeops.Resample(4.0, block=8192).run(tables.line_clean(spark, sf_dir)).df.select("chan", "sample", "value"), "value")
 
 
-def _filter_query(name: str, process: timeops.TimeProcess) -> None:
+def _impulse(sections: np.ndarray, rest: float = 1e-13) -> list[float]:
+    """Response of the sections to a one, by their difference equations, until it has died away."""
+    x = [1.0] + [0.0] * kernels.ring(sections, rest)
+    for b0, b1, b2, _, a1, a2 in sections.tolist():
+        y: list[float] = []
+        for i in range(len(x)):
+            y.append(b0 * x[i] + (b1 * x[i - 1] - a1 * y[i - 1] if i > 0 else 0.0) + (b2 * x[i - 2] - a2 * y[i - 2] if i > 1 else 0.0))
+        x = y
+    return x
+
+
+def _zero_phase_sql(name: str, src: str, sections: np.ndarray) -> str:
+    """SQL of the rows ``name`` (chan, sample, value) of ``src`` filtered there and back over odd extensions of the ends, each pass as if its first value had come before for ever."""
+    taps = 2 * len(sections) + 1 - min((sections[:, 2] == 0).sum(), (sections[:, 5] == 0).sum())
+    h = _impulse(sections)
+    rest = np.concatenate([np.cumsum(h[::-1])[::-1][1:], [0.0]])
+
+    def one_way(out: str, of: str) -> str:
+        return f"""{out} AS MATERIALIZED (
+  SELECT chan, i, sum(v) + coalesce(any_value(t * v0), 0) AS v FROM (
+    SELECT e.chan, e.i + k AS i, v * h AS v FROM {of} e JOIN {name}_ends b ON b.chan = e.chan, {name}_h WHERE e.i + k < b.n + 2 * b.edge)
+  LEFT JOIN (SELECT k AS i, t FROM {name}_h) USING (i) JOIN (SELECT chan, v AS v0 FROM {of} WHERE i = 0) USING (chan) GROUP BY chan, i)"""
+
+    return f"""{name}_h(k, h, t) AS (VALUES {", ".join(f"({i}, {float(x)!r}::DOUBLE, {float(t)!r}::DOUBLE)" for i, (x, t) in enumerate(zip(h, rest)))}),
+{name}_ends AS MATERIALIZED (SELECT chan, count(*) AS n, least({3 * taps}, count(*) - 1) AS edge, arg_min(value, sample) AS x0, arg_max(value, sample) AS x1 FROM {src} GROUP BY chan),
+{name}_e AS MATERIALIZED (
+  SELECT chan, sample + edge AS i, value AS v FROM {src} JOIN {name}_ends USING (chan)
+  UNION ALL SELECT chan, edge - sample, 2 * x0 - value FROM {src} JOIN {name}_ends USING (chan) WHERE sample BETWEEN 1 AND edge
+  UNION ALL SELECT chan, edge + 2 * (n - 1) - sample, 2 * x1 - value FROM {src} JOIN {name}_ends USING (chan) WHERE sample BETWEEN n - 1 - edge AND n - 2),
+{one_way(f"{name}_f", f"{name}_e")},
+{name}_r AS MATERIALIZED (SELECT chan, n + 2 * edge - 1 - i AS i, v FROM {name}_f JOIN {name}_ends USING (chan)),
+{one_way(f"{name}_g", f"{name}_r")},
+{name} AS (SELECT chan, n + edge - 1 - i AS sample, v AS value FROM {name}_g JOIN {name}_ends USING (chan) WHERE i BETWEEN edge AND n + edge - 1)"""
+
+
+def _filter_query(name: str, process: timeops.TimeProcess, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rows(process.run(tables.line_clean(spark, sf_dir)))
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
-for _name, _process in (
-    ("lowpass", timeops.LowPass(cutoff=2.0)), ("highpass", timeops.HighPass(cutoff=2.0)), ("bandpass", timeops.BandPass(cutoff_low=1.0, cutoff_high=3.0)),
-    ("notch", timeops.Notch(notch=4.0, band=1.0)), ("decimate_iir", timeops.Decimate(6)),
-):
-    _filter_query(_name, _process)
+# channels by number while their rows are filtered
+_NUMBERED = "x AS MATERIALIZED (SELECT list_position(['Ex', 'Ey', 'Hx', 'Hy', 'Hz'], chan) AS chan, sample, value FROM clean)"
+_NAMED = "SELECT ['Ex', 'Ey', 'Hx', 'Hy', 'Hz'][chan] AS chan, sample::BIGINT AS sample, round(value, 6) AS value FROM {}"
+
 
+def _butterworth_sql(kind: str, *edges: float) -> str:
+    return f"WITH {_CLEAN}, {_NUMBERED}, {_zero_phase_sql('y', 'x', kernels.butterworth(10, kind, list(edges), tables.FS))} {_NAMED.format('y')}"
 
-@query()
+
+def _decimate_sql(*steps: int) -> str:
+    parts, src = [], "x"
+    for i, q in enumerate(steps):
+        parts += [_zero_phase_sql(f"y{i}", src, kernels.chebyshev1(8, 0.05, 0.8 / q, 2.0)), f"d{i} AS MATERIALIZED (SELECT chan, sample // {q} AS sample, value FROM y{i} WHERE sample % {q} = 0)"]
+        src = f"d{i}"
+    return f"WITH {_CLEAN}, {_NUMBERED}, {', '.join(parts)} {_NAMED.format(src)}"
+
+
+for _name, _process, _sql in (
+    ("lowpass", timeops.LowPass(cutoff=2.0), _butterworth_sql("lowpass", 2.0)), ("highpass", timeops.HighPass(cutoff=2.0), _butterworth_sql("highpass", 2.0)),
+    ("bandpass", timeops.BandPass(cutoff_low=1.0, cutoff_high=3.0), _butterworth_sql("bandpass", 1.0, 3.0)),
+    ("notch", timeops.Notch(notch=4.0, band=1.0), _butterworth_sql("bandstop", 3.5, 4.5)), ("decimate_iir", timeops.Decimate(6), _decimate_sql(*[q for q in params.downsample_steps(6, 3) if q > 1])),
+):
+    _filter_query(_name, _process, _sql)
+
+
+_LTTB = f"""WITH RECURSIVE {_CLEAN},
+size AS (SELECT count(*) AS n FROM orders),
+cut AS (SELECT unnest(range(999)) AS b, n, least(n - 1, floor(unnest(range(999)) * ((n - 2) / 998.0) + 1)::BIGINT) AS a FROM size),
+bucket AS (SELECT b, a, coalesce(lead(a) OVER (ORDER BY b), n) AS z FROM cut),
+pts AS (SELECT chan, b, list({{'x': sample::DOUBLE, 'y': value}} ORDER BY sample) AS p, avg(sample) AS cx, avg(value) AS cy FROM clean JOIN bucket ON sample >= a AND sample < z GROUP BY chan, b),
+step AS (SELECT p.chan, p.b, p.p, q.cx, q.cy FROM pts p JOIN pts q ON q.chan = p.chan AND q.b = p.b + 1),
+kept(chan, b, x, y) AS (
+  SELECT chan, -1, sample::DOUBLE, value FROM clean WHERE sample = 0
+  UNION ALL
+  SELECT chan, b, best.x, best.y FROM (
+    SELECT chan, b, p[list_position(areas, list_max(areas))] AS best FROM (
+      SELECT k.chan, s.b, s.p, list_transform(s.p, lambda o: abs((k.x - s.cx) * (o.y - k.y) - (k.x - o.x) * (s.cy - k.y))) AS areas FROM kept k JOIN step s ON s.chan = k.chan AND s.b = k.b + 1)))
+SELECT chan, x::BIGINT AS sample, round(y, 6) AS value FROM kept
+UNION ALL SELECT chan, sample, round(value, 6) FROM clean, size WHERE sample = n - 1"""
+
+
+@query(_LTTB)
 def lttb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timeops.lttb(tables.line_clean(spark, sf_dir).df, 1000).select("chan", "sample", "value"), "value")
 
@@ -275,7 +326,7 @@ def win_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- spectra ---------------------------------------------------------------
 
 
-@query(f"""WITH {_WINDOWS}, bins AS (SELECT unnest(range(65)) AS bin), {_transform("bins")} SELECT chan, global_win, bin::INTEGER AS freq_idx, round(bin / 8, 6) AS freq, round(re, 5) AS re, round(im, 5) AS im FROM z WHERE chan = 'Ex'""")
+@query(f"""WITH {_WINDOWS}, bins AS (SELECT unnest(range(65)) AS bin), {_transform("bins")} SELECT chan, global_win, bin::INTEGER AS freq_idx, round(bin / 8, 6) AS freq, round(re, 5) AS re, round(im, 5) AS im FROM z""")
 def fft_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = spectra.FourierTransform().run(_windowed(spark, sf_dir))
     return rounded(data.long().select("chan", "global_win", "freq_idx", "freq", r6("re", 5).alias("re"), r6("im", 5).alias("im")), "freq")
@@ -292,7 +343,7 @@ def fft_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("chan", "global_win", "freq_idx", "freq", r6("re", 5).alias("re"), r6("im", 5).alias("im")), "freq")
 
 
-@query(f"WITH {_EVALS} SELECT chan, global_win, freq_idx, round(re, 5) AS re, round(im, 5) AS im FROM evals WHERE chan = 'Hy'")
+@query(f"WITH {_EVALS} SELECT chan, global_win, freq_idx, round(re, 5) AS re, round(im, 5) AS im FROM evals")
 def fft_evals_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same values through whole spectra and interpolation."""
     data = spectra.FourierTransform().run(_windowed(spark, sf_dir))
@@ -460,7 +511,7 @@ def cross_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_EVALS}, {_CROSS}, j AS (
   SELECT o.eval_idx, o.chan AS out_chan, o.global_win, o.cross_chan, o.re, o.im, x.re AS xr, x.im AS xi, y.re AS yr, y.im AS yi
-  FROM p o JOIN p x USING (eval_idx, global_win, cross_chan) JOIN p y USING (eval_idx, global_win, cross_chan) WHERE o.chan = 'Ex' AND x.chan = 'Hx' AND y.chan = 'Hy')
+  FROM p o JOIN p x USING (eval_idx, global_win, cross_chan) JOIN p y USING (eval_idx, global_win, cross_chan) WHERE o.chan IN ('Ex', 'Ey') AND x.chan = 'Hx' AND y.chan = 'Hy')
 SELECT eval_idx, out_chan, global_win, cross_chan, 're' AS part, round(re, 4) AS y, round(xr, 4) AS x0, round(-xi, 4) AS x1, round(yr, 4) AS x2, round(-yi, 4) AS x3 FROM j
 UNION ALL SELECT eval_idx, out_chan, global_win, cross_chan, 'im', round(im, 4), round(xi, 4), round(xr, 4), round(yi, 4), round(yr, 4) FROM j""")
 def regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,22 +558,116 @@ def tipper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("eval_idx", r6("length").alias("length"), r6("real_angle", 4).alias("real_angle"), r6("imag_angle", 4).alias("imag_angle"))
 
 
-def _solver_query(name: str, solver: regression.Solver) -> None:
+# rows (eval_idx, out_chan, y, x0 to x3) of the impedance, a row for the real and one for the imaginary part
+_ROWS = f"""{_EVALS}, {_CROSS}, j AS (
+  SELECT o.eval_idx, o.chan AS out_chan, o.re, o.im, x.re AS xr, x.im AS xi, y.re AS yr, y.im AS yi
+  FROM p o JOIN p x USING (eval_idx, global_win, cross_chan) JOIN p y USING (eval_idx, global_win, cross_chan) WHERE o.chan IN ('Ex', 'Ey') AND x.chan = 'Hx' AND y.chan = 'Hy'),
+rows AS MATERIALIZED (
+  SELECT eval_idx, out_chan, re AS y, xr AS x0, -xi AS x1, yr AS x2, -yi AS x3 FROM j
+  UNION ALL SELECT eval_idx, out_chan, im, xi, xr, yi, yr FROM j)"""
+_FIT = "(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3)"
+
+
+def _normal(weight: str = "1.0") -> str:
+    """Sums of the weighted normal equations of four unknowns."""
+    return ", ".join([f"sum({weight} * x{i} * x{k}) AS a{i}{k}" for i in range(4) for k in range(i, 4)] + [f"sum({weight} * x{i} * y) AS c{i}" for i in range(4)])
+
+
+def _eliminate(ridge: str = "0.0") -> str:
+    """Columns that solve those equations: elimination, then the unknowns from the last to the first."""
+    a = {(i, k): f"a{i}{k}" + (f" + {ridge}" if i == k else "") for i in range(4) for k in range(i, 4)}
+    c, columns = [f"c{i}" for i in range(4)], []
+    for k in range(4):
+        columns += [f"({a[k, m]}) AS u{k}{m}" for m in range(k, 4)] + [f"({c[k]}) AS v{k}"]
+        for i in range(k + 1, 4):
+            a |= {(i, m): f"{a[i, m]} - u{k}{i} / u{k}{k} * u{k}{m}" for m in range(i, 4)}
+            c[i] = f"{c[i]} - u{k}{i} / u{k}{k} * v{k}"
+    for k in (3, 2, 1, 0):
+        columns.append(f"(v{k}{''.join(f' - u{k}{m} * b{m}' for m in range(k + 1, 4))}) / u{k}{k} AS b{k}")
+    return ", ".join(columns)
+
+
+_GROUP = "eval_idx, out_chan"
+_START = f"SELECT {_GROUP}, {_eliminate()} FROM (SELECT {_GROUP}, {_normal()} FROM rows GROUP BY ALL)"
+_SOLVED = """, parts AS (SELECT *, unnest([{'in_chan': 'Hx', 're': b0, 'im': b1}, {'in_chan': 'Hy', 're': b2, 'im': b3}]) AS s FROM done)
+SELECT eval_idx, round(freq, 6) AS freq, round(1 / freq, 6) AS period, out_chan, s.in_chan AS in_chan, round(s.re, 6) AS re, round(s.im, 6) AS im FROM parts JOIN freqs ON freq_idx = eval_idx"""
+
+# weights of 1 up to two scaled residuals, 0 beyond, 50 times
+_WLS = f"""WITH RECURSIVE {_ROWS},
+it(i, eval_idx, out_chan, b0, b1, b2, b3) AS (
+  SELECT 0, {_GROUP}, b0, b1, b2, b3 FROM ({_START})
+  UNION ALL
+  SELECT i + 1, {_GROUP}, b0, b1, b2, b3 FROM (SELECT i, {_GROUP}, {_eliminate()} FROM (
+    SELECT i, {_GROUP}, {_normal("w")} FROM (
+      SELECT *, CASE WHEN abs(e - q2) <= 2 * CASE WHEN q3 > q1 THEN q3 - q1 ELSE 1 END THEN 1.0 ELSE 0.0 END AS w FROM (
+        SELECT *, quantile_cont(e, 0.25) OVER g AS q1, quantile_cont(e, 0.5) OVER g AS q2, quantile_cont(e, 0.75) OVER g AS q3
+        FROM (SELECT it.i, rows.*, y - {_FIT} AS e FROM it JOIN rows USING (eval_idx, out_chan)) WINDOW g AS (PARTITION BY {_GROUP}))) GROUP BY ALL)) WHERE i < 50),
+done AS (SELECT * FROM it WHERE i = 50){_SOLVED}"""
+
+# quadratic loss up to one scale, linear beyond; the scale is estimated with the coefficients
+_HUBER = f"""WITH RECURSIVE {_ROWS},
+it(i, eval_idx, out_chan, b0, b1, b2, b3, scale, floor) AS (
+  SELECT 0, {_GROUP}, any_value(b0), any_value(b1), any_value(b2), any_value(b3), greatest(median(abs(y - {_FIT})), 1e-12), {solvers.FLOOR} * greatest(median(abs(y - {_FIT})), 1e-12)
+  FROM ({_START}) JOIN rows USING (eval_idx, out_chan) GROUP BY {_GROUP}
+  UNION ALL
+  SELECT i + 1, {_GROUP}, b0, b1, b2, b3, greatest(CASE WHEN free > 0 AND part > 0 THEN sqrt(part / free) ELSE scale * 0.9 END, floor), floor FROM (
+    SELECT i, {_GROUP}, b0, b1, b2, b3, scale, floor, count(*) FILTER (abs(y - {_FIT}) <= scale) AS free, coalesce(sum((y - {_FIT}) ** 2) FILTER (abs(y - {_FIT}) <= scale), 0) AS part FROM (
+      SELECT i, {_GROUP}, scale, floor, {_eliminate("1e-4 * scale")} FROM (
+        SELECT i, {_GROUP}, scale, floor, {_normal("w")} FROM (
+          SELECT it.i, it.scale, it.floor, rows.*, least(1.0, scale / greatest(abs(y - {_FIT}), 1e-300)) AS w FROM it JOIN rows USING (eval_idx, out_chan)) GROUP BY ALL)) JOIN rows USING (eval_idx, out_chan) GROUP BY ALL) WHERE i < 200),
+done AS (SELECT * FROM it WHERE i = 200){_SOLVED}"""
+
+
+def _solver_query(name: str, solver: regression.Solver, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(_solution(spark, sf_dir, solver, IMPEDANCE).df, "freq", "period", "re", "im")
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
-for _name, _solver in (
-    ("solve_huber", regression.SolverHuber(epsilon=1.0)), ("solve_theilsen", regression.SolverTheilSen()),
-    ("solve_ransac", regression.SolverRANSAC()), ("solve_wls", regression.SolverWLS()),
+for _name, _solver, _sql in (
+    ("solve_huber", regression.SolverHuber(), _HUBER), ("solve_theilsen", regression.SolverTheilSen(), None),
+    ("solve_ransac", regression.SolverRANSAC(), None), ("solve_wls", regression.SolverWLS(), _WLS),
 ):
-    _solver_query(_name, _solver)
+    _solver_query(_name, _solver, _sql)
+
+
+def _pyramid_sql() -> str:
+    """The chain over as many levels as 128 samples a window leave to 500,000 samples: FIR resampling from level to level, windows of 128, 96 apart, and least squares."""
+    setup = params.DecimationSetup().run(tables.FS)
+    levels = range(5)
+    parts, wins, freqs = ["l0 AS MATERIALIZED (SELECT chan, sample, value, count(*) OVER (PARTITION BY chan) AS n FROM clean)"], [], []
+    for level in levels:
+        factor, q = setup.factors[level], setup.increments[level]
+        if level:
+            taps, up = kernels.resample_taps(1, q), f"l{level - 1}"
+            half = len(taps) // 2
+            parts.append(f"""h{level}(i, h) AS (VALUES {_values(taps)}), m{level} AS (SELECT chan, avg(value) AS mean, ceil(any_value(n) / {q})::BIGINT AS n FROM {up} GROUP BY chan),
+l{level} AS MATERIALIZED (
+  SELECT chan, o AS sample, mean + coalesce(sum((value - mean) * h), 0) AS value, m.n FROM (
+    SELECT chan, value, sample, unnest(range(greatest(0, ceil((sample - {half}) / {q})::BIGINT), (sample + {half}) // {q} + 1)) AS o FROM {up})
+  JOIN m{level} m USING (chan) JOIN h{level} ON i = o * {q} - sample + {half} WHERE o < m.n GROUP BY chan, o, mean, m.n)""")
+        fs, ahead = tables.FS / factor, 10 * tables.FS / factor  # the recording begins 10 s after the reference time
+        first_win = math.ceil(ahead / 96)
+        first = math.floor(first_win * 96 - ahead)
+        last = f"(n - {first + 128}) // 96"
+        wins.append(f"""SELECT chan, {level} AS level, k + {first_win} AS global_win, (sample - {first} - 96 * k)::INTEGER AS pos, value FROM (
+  SELECT *, unnest(range(greatest(0, ceil((sample - {first + 127}) / 96)::BIGINT), least({last}, (sample - {first}) // 96) + 1)) AS k FROM l{level} WHERE n >= 256 AND sample >= {first} AND {last} >= 4)""")
+        freqs += [f"({setup.eval_idx(level, i)}, {level}, {f!r}::DOUBLE, {int(f * 128 / fs)}, {f * 128 / fs - int(f * 128 / fs)!r}::DOUBLE)" for i, f in enumerate(setup.freqs[level])]
+    return f"""WITH {_CLEAN}, {", ".join(parts)},
+win AS ({" UNION ALL ".join(wins)}),
+freqs(freq_idx, level, freq, low, part) AS (VALUES {", ".join(freqs)}),
+bins AS (SELECT DISTINCT unnest([low, low + 1]) AS bin FROM freqs),
+{_transform("bins", "win", "chan, level, global_win")},
+evals AS (
+  SELECT x.chan, x.global_win, freq_idx, freq, x.re * (1 - part) + y.re * part AS re, x.im * (1 - part) + y.im * part AS im
+  FROM freqs f JOIN z x ON x.bin = low AND x.level = f.level JOIN z y ON y.bin = low + 1 AND y.level = f.level AND y.chan = x.chan AND y.global_win = x.global_win),
+{_CROSS}, {_OLS[_OLS.index("j AS ("):]}
+SELECT eval_idx, round(freq, 6) AS freq, round(period, 6) AS period, out_chan, in_chan, round(re, 6) AS re, round(im, 6) AS im FROM sol WHERE out_chan <> 'Hz'"""
 
 
-@query()
+@query(_pyramid_sql())
 def impedance_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole default chain, all levels of the pyramid, least squares."""
     config = Configuration(solver=regression.SolverOLS())
@@ -548,13 +693,13 @@ def impedance_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- look-ups and counts ---------------------------------------------------
 
 
-@query("SELECT DISTINCT o_totalprice AS fs, replace(printf('%.6f', o_totalprice), '.', '_') AS name FROM orders WHERE o_orderkey < 1000")
+@query("SELECT DISTINCT o_totalprice AS fs, replace(printf('%.6f', o_totalprice), '.', '_') AS name FROM orders")
 def fs_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders")
     return orders.select(F.col("o_totalprice").alias("fs"), channels.fs_to_string_column(F.col("o_totalprice")).alias("name")).distinct()
 
 
-@query("""SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: printf('%.4f', x::DOUBLE)), ', ') AS text FROM embeddings""")
+@query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.4f', x::DOUBLE)), ', ') AS text FROM embeddings""")
 def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings")
     return rows.select("vec_id", channels.array_to_string_column(F.col("embedding"), precision=4).alias("text"))
@@ -605,3 +750,6 @@ def selection_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(~F.isnan("value"), F.col("value"))
     return tables.line(spark, sf_dir).df.groupBy("chan").agg(F.count("*").alias("n_samples"), F.count(known).alias("n_known"), r6(F.min(known)).alias("low"), r6(F.max(known)).alias("high"))
+
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tellura.plans import catalog
+from tellura.plans import catalog, catalog_files  # noqa: F401, the second registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
