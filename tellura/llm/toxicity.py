@@ -278,8 +278,26 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc
     small_batches(docs.sparkSession, 500)
     characters = character_model(docs, text_col)
     rows, totals = labelled(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), labels, how.rows_of_label, id_col, label_col)
-    learnt = rows.select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), "y int, family long, words binary, starts binary, sizes binary, runs array<string>")
-    return _learn(characters, learnt.toArrow(), totals, how)
+    units = rows.select("y", "_text").mapInArrow(_unit_kernel(characters, how.prefix), UNITS)
+    # the sample is bounded: one task learns from it, and the driver gets the weights alone
+    found = units.repartition(1).mapInArrow(_learn_kernel(characters, totals, how), "units binary, weights binary, coefficients binary, lengths array<int>").first()
+    if found is None:
+        return _learn(characters, pa.table({"y": pa.array([], pa.int32())}), totals, how)
+    units, weights, coefficients = (np.frombuffer(found[c], t) for c, t in (("units", np.uint64), ("weights", np.float32), ("coefficients", np.float64)))
+    return Model(characters, units, weights, coefficients, how.prefix, tuple(found["lengths"]))
+
+
+UNITS = "y int, family long, words binary, starts binary, sizes binary, runs array<string>"
+
+
+def _learn_kernel(characters: np.ndarray, totals: dict[int, int], how: Fit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        model = _learn(characters, pa.Table.from_batches(held) if held else pa.table({"y": pa.array([], pa.int32())}), totals, how)
+        packed = [pa.array([v.tobytes()], pa.binary()) for v in (model.units, model.weights, np.asarray(model.coefficients, np.float64))]
+        yield pa.RecordBatch.from_arrays([*packed, pa.array([list(model.lengths)], pa.list_(pa.int32()))], ["units", "weights", "coefficients", "lengths"])
+
+    return run
 
 
 def _learn(characters: np.ndarray, rows: pa.Table, totals: dict[int, int], how: Fit) -> Model:
