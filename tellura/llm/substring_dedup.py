@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.llm.common import WordHashes, as_long, byte_texts, chunks, fresh_path, hash_words, join_hot, materialise, mix, quoted, remove, rolling, schema_of, small_batches, spare
+from tellura.llm.common import WordHashes, as_long, byte_texts, chunks, fresh_path, hash_words, join_hot, materialise, mix, quoted, remove, rolling, schema_of, small_batches
 
 #: Runs that are kept side by side before they are merged into one.
 FAN_IN = 2

@@ -105,9 +105,12 @@ def probe(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame
     """``rows`` with ``_maybe``: false only where ``key`` is not on the list."""
     if blocks <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
+    else:  # keys are dealt by block: rows without one would all be dealt to one task
+        rows, none = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(F.col(key)))])
     joined = rows.withColumn("block", _block(F.col(key), blocks)).join(bloom, "block", "left")
-    return joined.withColumn("_maybe", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+    probed = joined.withColumn("_maybe", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("block", *[f"w{i}" for i in range(WORDS)])
+    return probed if blocks <= BROADCAST_BLOCKS else probed.unionByName(none.withColumn("_maybe", F.lit(False)))
 
 
 def judge_urls(
