@@ -101,8 +101,16 @@ def test_tree_confines_movement(spark):
     assert [c.shard for c in small.children[0].children[0].children] == [0, 1, 2]
     grown = sharding.layout(41)
     assert grown.children[-1].weight == 1 and grown.children[0].weight == 10
-    with pytest.raises(ValueError):
-        sharding.layout(0)
+    for n in (0, 12, 39):  # a part of the fleet would not grow by the law
+        with pytest.raises(ValueError):
+            sharding.layout(n)
+
+
+@pytest.mark.parametrize(("n", "fleet"), [(1, (1, 1, 1)), (4, (2, 1, 2)), (7, (2, 1, 2)), (12, (2, 2, 3)), (40, (4, 2, 5)), (43, (4, 2, 5))])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n, fleet):
+    rows = spark.range(1500).select(sharding.place(F.col("id"), sharding.layout(n, fleet)).alias("a"), sharding.place(F.col("id"), sharding.layout(n + 1, fleet)).alias("b")).collect()
+    moved = [r["b"] for r in rows if r["a"] != r["b"]]
+    assert set(moved) == {n} and {r["a"] for r in rows} == set(range(n))
 
 
 # --- n-gram join -----------------------------------------------------------
@@ -193,6 +201,7 @@ def test_quality_rules(spark, odd):
     for i in range(60):
         own = [" ".join(words(rng, 12, 5000)) for _ in range(3)]
         texts.append("\n".join((["Accept  all\tcookies"] if i % 2 else []) + own + (own[:1] if i % 5 == 0 else [])))
+    texts += [" ".join(f"copied{k}" for k in range(14))] * 20  # six or seven documents of each host: copies count
     texts += ["a b c d e f a b c d e f a b c d e", "x #* y\nx #* y\n\n \nz", "accept all COOKIES\naccept all cookies now"]
     limits = quality_rules.LineLimits(min_docs=4, share=0.01)
     got = {r["doc_id"]: r for r in rows_of(quality_rules.judge_documents(make(spark, texts), limits))}
@@ -202,8 +211,8 @@ def test_quality_rules(spark, odd):
         if t:
             for line in t.encode().split(b"\n"):
                 if line.split():
-                    docs_of[f"src{i % 3}", key(line)].add(t)
-                    held[f"src{i % 3}"].add(t)
+                    docs_of[f"src{i % 3}", key(line)].add(i)
+                    held[f"src{i % 3}"].add(i)
     for i, t in enumerate(texts):
         b = (t or "").encode()
         w = b.split()
@@ -276,14 +285,33 @@ def test_index_is_incremental(spark):
     for b in range(6):
         found |= {r["print"] for r in rows_of(index.add(substring_dedup.fingerprints(docs.where(f"doc_id % 6 = {b}"), 8)))}
     assert len(index.runs) <= 2 and found == {r["print"] for r in rows_of(whole)} and found
-    files = index.runs[0][1]
-    order = files.withColumn("p", F.spark_partition_id()).collect()
-    assert len(order) == files.select("print").distinct().count()
+    assert index.compactions > 0
+    (a, path), (b, _) = index.runs
+    plan = index.joined(b, a)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are joined bucket by bucket
+    run = spark.table(a)
+    assert run.count() == run.select("print").distinct().count()
+    for file in {r[0] for r in run.select(F.input_file_name()).distinct().collect()}:
+        prints = [r["print"] for r in spark.read.parquet(file).collect()]
+        assert prints == sorted(prints)
     index.compact()
+    assert len(index.runs) == 1
     index.drop()
     assert index.runs == []
 
 
+def test_query_compacts_its_index(spark, monkeypatch):
+    """A table is added in batches of which the third is compacted with those before it."""
+    seen = []
+    compact = substring_dedup.FingerprintIndex.compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: (seen.append(len(self.runs)), compact(self)))
+    rng = np.random.default_rng(2)
+    shared = words(rng, 12)
+    texts = [" ".join(words(rng, 20, 9000) + shared + words(rng, 20, 9000)) for _ in range(12)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring_dedup.removed_words(make(spark, texts), 8))}
+    assert got == dict(enumerate(brute_repeats(texts, 8))) and seen and min(seen) == substring_dedup.FAN_IN + 1
+
+
 # --- embeddings ------------------------------------------------------------
 
 
@@ -305,8 +333,8 @@ def test_embeddings(spark):
             if k != m and len(v) == len(w) and unit(v) @ unit(w) >= 0.9:
                 links[k].append(m)
     head = heads([(a, b) for a in links for b in links[a]], range(len(rows)))
-    for size, most in ((4096, 4096), (16, 4096)):
-        got = rows_of(embeddings.near_duplicates(df, 0.9, block_rows=size, most_blocks=most))
+    for size in (4096, 16):
+        got = rows_of(embeddings.near_duplicates(df, 0.9, block_rows=size))
         least = defaultdict(list)
         for k, (i, _, _) in enumerate(rows):
             least[head[k]].append(i)
@@ -323,6 +351,13 @@ def test_quantisation_bound():
     q, s, e = embeddings.quantise(x)
     near = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s
     assert (np.abs(near - x @ x.T) <= e[:, None] + e + e[:, None] * e + 1e-12).all()
+    tile = embeddings.Tile(q, s, e, np.arange(200), np.ones(200, np.int64))
+    for threshold in (-0.2, 0.0, 0.3):
+        sure, may = embeddings.sift(tile, tile, threshold)
+        linked = x @ x.T >= threshold
+        assert (linked[sure]).all() and not linked[~sure & ~may].any() and 0 < may.sum() < may.size / 10
+    wide = rng.integers(-127, 128, (5, 5000)).astype(np.int8)
+    assert (embeddings.products(wide, wide) == wide.astype(np.int64) @ wide.T.astype(np.int64)).all()
 
 
 # --- URLs ------------------------------------------------------------------
@@ -398,6 +433,48 @@ def test_classifiers_on_odd_rows(spark, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0 and quality_classifier.score(odd.limit(0), machine).count() == 0
 
 
+def test_viterbi_against_all_paths():
+    """The decoded word is that of the best of all paths through the lattice, under a random character model."""
+    rng = np.random.default_rng(8)
+    model = np.log(rng.dirichlet(np.full(toxicity.CLASSES, 0.3), (toxicity.CLASSES, toxicity.CLASSES)) + 1e-9).astype(np.float32)
+
+    def paths(core, at, before, p2, p1):
+        if at == len(core):
+            yield float(model[p2, p1, 0]), ""
+            return
+        c = core[at]
+        if c.isalpha():
+            steps = [(c, 0.0)] + ([("", toxicity.REPEAT)] if c == before else [])
+        else:
+            steps = [(x, toxicity.SUBSTITUTE) for x in toxicity.SIGNS.get(c, "")]
+            steps.append(("", toxicity.REPEAT if c == before else toxicity.GAP if c in toxicity.SEPARATORS else toxicity.DROP))
+        for letter, cost in steps:
+            k = toxicity.CLASS.get(letter, toxicity.OTHER)
+            gain = toxicity.LETTER + float(model[p2, p1, k]) if letter else 0.0
+            for score, word in paths(core, at + 1, c, *((p1, k) if letter else (p2, p1))):
+                yield score - cost + gain, letter + word
+
+    cores = ["".join(rng.choice(list("abist01!|@68-.$"), int(rng.integers(1, 9)))) for _ in range(120)] + ["1d1ot", "aabb", "s-t-u", "888", "$$1ss"]
+    for core in cores:
+        best = {}
+        for score, word in paths(core, 0, "", 0, 0):
+            best[word] = max(score, best.get(word, -np.inf))
+        top = max(best.values())
+        assert best[toxicity.decode(core, model)] == pytest.approx(top, abs=1e-4), core
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Ids that repeat in labels or documents add no rows; an id with both labels is one of label 1."""
+    from tellura.llm.common import labelled
+
+    docs = spark.createDataFrame([(i % 20, f"t{i}") for i in range(60)] + [(None, "x")], "_id long, _text string")
+    labels = spark.createDataFrame([(i % 20, int(i % 20 < 8)) for i in range(80)] + [(0, 0), (None, 1), (3, 7)], "doc_id long, toxic int")
+    rows, totals = labelled(docs, labels, 5, "doc_id", "toxic")
+    assert Counter(r["y"] for r in rows_of(rows)) == {0: 5, 1: 5} and totals == {0: 12, 1: 8}
+    every, _ = labelled(docs, labels, 100, "doc_id", "toxic")
+    assert sorted(r["_text"] for r in rows_of(every)) == sorted(min(f"t{i + 20 * k}" for k in range(3)) for i in range(20))
+
+
 def test_deobfuscation(spark):
     """Insults in leetspeak, stretched and spaced out are scored as the plain words are."""
     rng = np.random.default_rng(4)
@@ -489,7 +566,9 @@ def test_mixing(spark, odd):
     assert none.where("source = 'big' or source is null").count() == 0
     with pytest.raises(ValueError):
         mixing.replicate(docs, {"big": -1.0})
-    assert set(mixing.replicate(odd).columns) >= set(DOCS.replace(" long", "").replace(" string", "").split(", "))
+    clashing = odd.select("*", *[F.lit(7).alias(c) for c in ("_table", "_name", "_u", "_n", "row", "id", "name", "u", "n", "copy", "order", "table", "rate", "a.b")])
+    got = rows_of(mixing.replicate(clashing))
+    assert set(got[0]) == {*clashing.columns, "_rate", "_shuffle_key"} and all(r[c] == 7 for r in got for c in ("_table", "_name", "_u", "_n", "row", "id", "name", "u", "n", "copy", "order", "table", "rate", "a.b"))
     assert mixing.replicate(odd.limit(0)).count() == 0
 
 
