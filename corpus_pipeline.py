@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellura.llm import mixing, ngram_join, packing, substring_dedup, toxicity
-from tellura.llm.common import materialise, table
+from tellura.llm.common import materialise, spare, table
 
 #: Documents of at least this score go.
 TOXIC = 0.3
@@ -24,33 +24,39 @@ SEQUENCE = 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; learnt from the labels of those that are there."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("_score") < TOXIC).select(*docs.columns)
+    """Documents whose toxicity score is below TOXIC; learnt from the labels of those that are there.
+
+    Null and empty texts have the score of no evidence; rows that repeat fare
+    alike; columns keep their values, whatever their names; an empty table gives
+    an empty one.
+    """
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), spare(docs.columns, "_score")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id; of rows that repeat id and text, one."""
-    judged = materialise(ngram_join.join_documents(docs, NEAR), "near-copies")
-    heads = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi")
-    if judged.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns)
+    """One document of each group stays, that of the least id; of rows that repeat id and text, one; see first_documents()."""
+    return ngram_join.first_documents(docs, NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in two places; a document of which nothing is left goes."""
-    return substring_dedup.remove_repeats(docs, PASSAGE).select(*docs.columns)
+    """Texts without passages that stand in two places; a document of which nothing is left goes; see remove_repeats()."""
+    return substring_dedup.remove_repeats(docs, PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, or left out, to the sources' target shares, in a global shuffle."""
-    return mixing.replicate(docs).select(*docs.columns)
+    """Documents repeated, or left out, to the sources' target shares, in a global shuffle; see replicate().
+
+    Columns that have the names of its figures go on as they came.
+    """
+    taken = {"_copy", "_rate", "_shuffle_key"}
+    own = {c: spare(docs.columns, f"_own{c}") for c in docs.columns if c.lower() in taken}
+    mixed = mixing.replicate(docs.withColumnsRenamed(own))
+    return mixed.drop(*taken).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, with their sequences and places there."""
+    """Pieces of token ids, with their sequences and places there; see pack_documents() for null, empty, long and repeated texts."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
 
 
