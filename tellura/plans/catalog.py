@@ -223,7 +223,7 @@ def _zero_phase_sql(name: str, src: str, sections: np.ndarray) -> str:
 
 def _filter_query(name: str, process: timeops.TimeProcess, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rows(process.run(tables.line_clean(spark, sf_dir)))
+        return rounded(process.run(tables.line_clean(spark, sf_dir)).df.select("chan", "sample", "value"), "value", digits=4)
 
     run.__name__ = name
     query(sql)(run)
@@ -231,7 +231,7 @@ def _filter_query(name: str, process: timeops.TimeProcess, sql: str) -> None:
 
 # channels by number while their rows are filtered
 _NUMBERED = "x AS MATERIALIZED (SELECT list_position(['Ex', 'Ey', 'Hx', 'Hy', 'Hz'], chan) AS chan, sample, value FROM clean)"
-_NAMED = "SELECT ['Ex', 'Ey', 'Hx', 'Hy', 'Hz'][chan] AS chan, sample::BIGINT AS sample, round(value, 6) AS value FROM {}"
+_NAMED = "SELECT ['Ex', 'Ey', 'Hx', 'Hy', 'Hz'][chan] AS chan, sample::BIGINT AS sample, round(value, 4) + 0.0 AS value FROM {}"
 
 
 def _butterworth_sql(kind: str, *edges: float) -> str:
@@ -266,8 +266,8 @@ kept(chan, b, x, y) AS (
   SELECT chan, b, best.x, best.y FROM (
     SELECT chan, b, p[list_position(areas, list_max(areas))] AS best FROM (
       SELECT k.chan, s.b, s.p, list_transform(s.p, lambda o: abs((k.x - s.cx) * (o.y - k.y) - (k.x - o.x) * (s.cy - k.y))) AS areas FROM kept k JOIN step s ON s.chan = k.chan AND s.b = k.b + 1)))
-SELECT chan, x::BIGINT AS sample, round(y, 6) AS value FROM kept
-UNION ALL SELECT chan, sample, round(value, 6) FROM clean, size WHERE sample = n - 1"""
+SELECT chan, x::BIGINT AS sample, round(y, 6) + 0.0 AS value FROM kept
+UNION ALL SELECT chan, sample, round(value, 6) + 0.0 FROM clean, size WHERE sample = n - 1"""
 
 
 @query(_LTTB)

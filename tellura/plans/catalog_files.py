@@ -130,9 +130,9 @@ def store_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(again.df.select("chan", "sample", "value"), "value")
 
 
-@query(f"WITH {catalog._CLEAN} SELECT chan, sample - 7 AS sample, round(value, 2) AS value FROM clean WHERE sample >= 7")
+@query(f"WITH {catalog._CLEAN} SELECT chan, sample - 7 AS sample, round(round(value, 6)::FLOAT::DOUBLE, 4) + 0.0 AS value FROM clean WHERE sample >= 7")
 def store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels written as text, put side by side in one file with two lines of header, and read again from sample 7 on."""
+    """Channels written as text, put side by side in one file with two lines of header, and read again in single precision from sample 7 on."""
     data, folder = tables.line_clean(spark, sf_dir), _folder(spark, "text")
     meta = _metadata(data.recordings[0])
     TimeWriterAscii().run(folder / "out", meta, data)
@@ -144,7 +144,7 @@ def store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = replace(meta, chans_metadata={c: ChanMetadata(c, (name,)) for c in meta.chans})
     (folder / "parts/metadata.json").write_text(told.to_json())
     again = TimeReaderAscii(n_header=2).run(spark, folder / "parts", "line", "all", from_sample=7)
-    return rounded(again.df.select("chan", "sample", "value"), "value", digits=2)
+    return rounded(again.df.select("chan", "sample", "value"), "value", digits=4)
 
 
 @query(f"WITH {catalog._CLEAN} SELECT chan, count(*) AS n, sum(sample)::BIGINT AS samples, round(sum(round(value, 6) * (sample % 100)), 3) AS moment FROM clean GROUP BY chan")
