@@ -44,7 +44,7 @@ base AS (
     xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
       lambda c, b: xor(c >> 8, l[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
   FROM documents, tab),
-binned AS (SELECT *, floor({_u("coalesce(doc_id::VARCHAR, '~')", "'0'", "text_crc32::VARCHAR", "'slot'")} * 1024) AS bin FROM base)
+binned AS (SELECT *, floor({_u("coalesce(doc_id::VARCHAR, '~')", "'0'", "'slot'")} * 1024) AS bin FROM base)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, split_part(a.path, '/s', 2)::INTEGER AS shard,
   (row_number() OVER (PARTITION BY a.path ORDER BY bin, doc_id, text_crc32, size) - 1)::BIGINT AS slot, split_part(b.path, '/s', 2)::INTEGER AS grown_shard
 FROM binned JOIN t40_3 a USING (doc_id) JOIN t41_3 b USING (doc_id)
