@@ -1,7 +1,8 @@
 """Time data in text files, one column for each channel; compressed files as Spark reads them.
 
-Line numbers: lines are counted for each partition of the read, so each line's
-number is its place in its partition plus the lines of those before.
+Line numbers: lines are counted for each part of a file that the read splits off,
+so each line's number is its place in its part plus the lines of the parts
+before, by file name and start; the read itself deals large parts first.
 """
 
 from __future__ import annotations
@@ -9,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellura.functions.frames import small
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, text) with the line numbers of the file, from 0."""
-    rows = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    first = F.element_at(F.lit(starts or [0]).cast("array<long>"), (part + 1).cast("int"))
-    return rows.select((first + place).alias("line"), F.col("value").alias("text"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    parts = rows.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("at")).collect()  # a row for each part of a file
+    firsts, total = [], 0
+    for r in sorted(parts, key=lambda r: (r["_file"], r["_start"])):
+        firsts.append((r["_file"], r["_start"], total - r["at"]))
+        total += r["n"]
+    table = small(spark.createDataFrame(firsts, "_file string, _start long, _first long"), len(firsts))
+    return rows.join(table, ["_file", "_start"]).select((F.col("_first") + F.col("_at")).alias("line"), F.col("value").alias("text"))
 
 
 def read_ascii(spark: SparkSession, path: str, chans: list[str], delimiter: str | None = None, n_header: int = 0, from_sample: int = 0, to_sample: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tellura.functions import kernels, solvers
 from tellura.operators import timeops
 from tellura.operators.timeops import Recording
+from tellura.sources.ascii import numbered_lines
 
 
 def test_narrow_notch_by_blocks(spark, monkeypatch):
@@ -56,3 +57,22 @@ def test_lttb_by_parts(spark):
             want = kernels.lttb(np.arange(n, dtype=float) + 7, x[c], points)
             assert sorted(r["sample"] - 7 for r in got if r["chan"] == c) == want.tolist(), (n, points, c)
         assert sum(r["chan"] == "Hy" for r in got) == min(n, points)
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    """Spark reads large files first, and small parts of files together; the numbers follow the names and places."""
+    bounds = [0, 10, 5_000, 5_003, 9_000, 9_001]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        (tmp_path / f"part-{i:05d}.txt").write_text("".join(f"{n}\n" for n in range(a, b)))
+    (tmp_path / "one.txt").write_text("".join(f"{n}\n" for n in range(9_000)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for name, n in (("part-*", 9_001), ("one.txt", 9_000)):
+            for size in kept["spark.sql.files.maxPartitionBytes"], "4k":
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+                got = numbered_lines(spark, str(tmp_path / name)).collect()
+                assert len(got) == n and all(str(r["line"]) == r["text"] for r in got), (name, size)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
