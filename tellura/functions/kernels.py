@@ -153,6 +153,20 @@ def decimate_step(x: np.ndarray, q: int) -> np.ndarray:
     return zero_phase(chebyshev1(8, 0.05, 0.8 / q, 2.0), x)[::q]
 
 
+def fill_gaps(sample: np.ndarray, value: np.ndarray, unknown: str = "no value") -> np.ndarray:
+    """Values with NaN on the line between the known neighbours, beyond the ends that of the nearest; samples ascend. Without any the error ``unknown``."""
+    known, gaps = np.flatnonzero(~np.isnan(value)), np.flatnonzero(np.isnan(value))
+    if not len(known):
+        raise ParameterError(unknown)
+    at = np.searchsorted(known, gaps)
+    left, right = known[np.maximum(at - 1, 0)], known[np.minimum(at, len(known) - 1)]
+    with np.errstate(invalid="ignore"):
+        line = value[left] + (value[right] - value[left]) * (sample[gaps] - sample[left]) / np.maximum(sample[right] - sample[left], 1)
+    out = value.copy()
+    out[gaps] = np.where(left == right, value[left], line)
+    return out
+
+
 # --- resampling ------------------------------------------------------------
 
 

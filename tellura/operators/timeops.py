@@ -25,6 +25,8 @@ from tellura.operators.params import Recording, downsample_steps
 
 #: Samples of a block, and samples of a channel that one task filters as a whole.
 BLOCK, WHOLE = 1 << 17, 1 << 24
+#: Rows that a task which works by blocks gets on average.
+TASK_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -153,28 +155,30 @@ class InterpolateNans(TimeProcess):
     """Gaps on the line between their neighbours; before the first and after the last value that value stands.
 
     The last known value before each block of samples and the first after it
-    come from a window over blocks; within a block a window over its samples.
+    come from a window over blocks. They go to the block as two more rows, and
+    each block is filled by itself, after one shuffle.
     A channel without any value is an error when the result is read.
     """
 
     block: int = BLOCK
 
     def run(self, data: TimeData) -> TimeData:
-        keys = ["site", "meas", "level", "chan"]
-        known = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.struct("sample", "value"))
-        rows = data.df.withColumn("_b", F.floor(F.col("sample") / self.block)).withColumn("_k", known)
-        ends = rows.groupBy(*keys, "_b").agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))
+        keys, block = ["site", "meas", "level", "chan"], self.block
+        rows = data.df.select(*keys, "sample", "value", F.floor(F.col("sample") / block).alias("_block"))
+        known = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.col("sample"))
+        # max_by and min_by of plain columns keep to hash tables; the greatest struct would sort all rows
+        ends = rows.groupBy(*keys, "_block").agg(F.max(known).alias("_s1"), F.max_by("value", known).alias("_v1"), F.min(known).alias("_s0"), F.min_by("value", known).alias("_v0"))
+        last, first = (F.when(F.col(f"_s{i}").isNotNull(), F.struct(F.col(f"_s{i}").alias("sample"), F.col(f"_v{i}").alias("value"))) for i in (1, 0))
         # both directions run from the start of an order: a frame to the end would be scanned anew for each row
-        before, after = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
-        around = ends.select(*keys, "_b", F.last("_last", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
-        up, down = (Window.partitionBy(*keys, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("sample"), F.desc("sample")))
-        joined = rows.join(around, [*keys, "_b"])
-        left = F.coalesce(F.last("_k", True).over(up), F.col("_before"))
-        right = F.coalesce(F.last("_k", True).over(down), F.col("_after"))
-        found = joined.select(*keys, "sample", left.alias("_l"), right.alias("_r"), "_k")
-        line = F.col("_l.value") + (F.col("_r.value") - F.col("_l.value")) * (F.col("sample") - F.col("_l.sample")) / F.when(F.col("_r.sample") > F.col("_l.sample"), F.col("_r.sample") - F.col("_l.sample")).otherwise(1)
-        value = F.when(F.col("_k").isNotNull(), F.col("_k.value")).otherwise(F.coalesce(line, F.col("_l.value"), F.col("_r.value"), F.raise_error(F.concat(F.lit("no value in channel "), F.col("chan"))).cast("double")))
-        return self._done(data, found.withColumn("value", value).select(*data.df.columns))
+        before, after = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_block"), F.desc("_block")))
+        around = ends.select(*keys, "_block", F.last(last, True).over(before).alias("_before"), F.last(first, True).over(after).alias("_after"))
+        around = around.select(*keys, "_block", F.explode(F.array("_before", "_after")).alias("_k")).where("_k is not null")
+
+        def fill(sample: np.ndarray, value: np.ndarray, start: int, end: int, chan: str) -> tuple[np.ndarray, np.ndarray]:
+            own = slice(*np.searchsorted(sample, [start, end]))
+            return sample[own], kernels.fill_gaps(sample, value, f"no value in channel {chan}")[own]
+
+        return self._done(data, _each_block(rows.unionByName(around.select(*keys, "_k.sample", "_k.value", "_block")), data, block, fill).select(*data.df.columns))
 
 
 @dataclass(frozen=True)
@@ -233,21 +237,37 @@ def _whole_channels(df: DataFrame, fn: Callable[[np.ndarray, str], np.ndarray],
     return df.groupBy("site", "meas", "level", "chan").applyInArrow(run, SAMPLES)
 
 
-def _blocks(df: DataFrame, halo: int, block: int, fn: Callable[[np.ndarray, int, int, int], tuple[int, np.ndarray]]) -> DataFrame:
-    """``fn(values, first sample, block start, block end)`` of each block with ``halo`` samples on both sides; gives first sample and values."""
-    low, high = F.floor((F.col("sample") - halo) / block), F.floor((F.col("sample") + halo) / block)
-    dealt = df.withColumn("_block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+def _each_block(dealt: DataFrame, data: TimeData, block: int, fn: Callable[[np.ndarray, np.ndarray, int, int, str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``fn(samples, values, block start, block end, chan)`` of each block of ``dealt`` (with ``_block``); gives samples and values.
+
+    Partitions are as many as the rows of ``data`` need, so that a task's share doesn't grow with the recording.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         sample = np.asarray(group.column("sample").combine_chunks())
         order = np.argsort(sample, kind="stable")
         start = key[4].as_py() * block
-        own = (sample >= start) & (sample < start + block)
-        first, y = fn(np.asarray(group.column("value").combine_chunks(), np.float64)[order], int(sample[order[0]]), start, start + block) if own.any() else (0, np.empty(0))
-        same = {n: pa.array([k.as_py()] * len(y), t) for n, k, t in zip(("site", "meas", "level", "chan"), key, (pa.string(), pa.string(), pa.int32(), pa.string()))}
-        return pa.table({**same, "sample": pa.array(np.arange(first, first + len(y)), pa.int64()), "value": pa.array(y, pa.float64())})
+        s, y = fn(sample[order], np.asarray(group.column("value").combine_chunks(), np.float64)[order], start, start + block, key[3].as_py())
+        same = {n: pa.repeat(pa.scalar(k.as_py(), t), len(y)) for n, k, t in zip(("site", "meas", "level", "chan"), key, (pa.string(), pa.string(), pa.int32(), pa.string()))}
+        return pa.table({**same, "sample": pa.array(s, pa.int64()), "value": pa.array(y, pa.float64())})
+
+    keys = ["site", "meas", "level", "chan", "_block"]
+    n_rows = sum(r.n_samples * len(r.chans) for r in data.recordings)
+    n_parts = max(dealt.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS))
+    return dealt.repartition(n_parts, *keys).groupBy(*keys).applyInArrow(run, SAMPLES)
+
+
+def _blocks(df: DataFrame, data: TimeData, halo: int, block: int, fn: Callable[[np.ndarray, int, int, int], tuple[int, np.ndarray]]) -> DataFrame:
+    """``fn(values, first sample, block start, block end)`` of each block with ``halo`` samples on both sides; gives first sample and values."""
+    low, high = F.floor((F.col("sample") - halo) / block), F.floor((F.col("sample") + halo) / block)
+    dealt = df.withColumn("_block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+
+    def run(sample: np.ndarray, value: np.ndarray, start: int, end: int, chan: str) -> tuple[np.ndarray, np.ndarray]:
+        own = ((sample >= start) & (sample < end)).any()
+        first, y = fn(value, int(sample[0]), start, end) if own else (0, np.empty(0))
+        return np.arange(first, first + len(y)), y
 
-    return dealt.groupBy("site", "meas", "level", "chan", "_block").applyInArrow(run, SAMPLES)
+    return _each_block(dealt, data, block, run)
 
 
 @dataclass(frozen=True)
@@ -274,7 +294,7 @@ class _Filter(TimeProcess):
             def part(x: np.ndarray, first: int, start: int, end: int) -> tuple[int, np.ndarray]:
                 return start, kernels.zero_phase(sections, x)[start - first : end - first]
 
-            df = _blocks(data.df, halo, max(BLOCK, 2 * halo), part)
+            df = _blocks(data.df, data, halo, max(BLOCK, 2 * halo), part)
         return self._done(data, df.select(*data.df.columns), message=f"{kind} at {edges} Hz")
 
 
@@ -357,7 +377,7 @@ class Resample(TimeProcess):
             m = np.arange(start * up // down, end * up // down)
             return int(m[0]), _fir(x, first, m, taps, up, down)
 
-        df = _blocks(centred, halo, block, part).join(means, keys)
+        df = _blocks(centred, data, halo, block, part).join(means, keys)
         n_out = _by_recording(data, "_n long", lambda r: (lengths[r.site, r.meas],))
         df = df.join(n_out, ["site", "meas"]).where(F.col("sample") < F.col("_n")).withColumn("value", F.col("value") + F.col("_mean"))
         return self._done(data, df.select(*data.df.columns), recordings)
@@ -403,7 +423,7 @@ class Decimate(TimeProcess):
                 def part(x: np.ndarray, first: int, start: int, end: int, q: int = q, sections: np.ndarray = sections) -> tuple[int, np.ndarray]:
                     return start // q, kernels.zero_phase(sections, x)[start - first : end - first : q]
 
-                df = _blocks(df, halo, block, part)
+                df = _blocks(df, data, halo, block, part)
             lengths = [-(-n // q) for n in lengths]
         recordings = [replace(r, fs=float(exact(r.fs) / self.factor), n_samples=n) for r, n in zip(data.recordings, lengths)]
         return self._done(data, df.select(*data.df.columns), recordings)

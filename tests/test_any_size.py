@@ -76,3 +76,26 @@ def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_rows_of_a_task_stay_bounded_when_gaps_are_filled(spark, monkeypatch):
+    """Twice the rows are twice the tasks after the shuffle; gaps longer than blocks and at the ends are filled from other blocks."""
+    n, rng = 3000, np.random.default_rng(6)
+    x = rng.normal(size=n)
+    x[rng.random(n) < 0.2] = np.nan
+    x[:70], x[500:900], x[-200:] = np.nan, np.nan, np.nan
+    rows = [("s", "m", 0, "Hx", i, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "site string, meas string, level int, chan string, sample long, value double")
+    monkeypatch.setattr(timeops, "TASK_ROWS", 100, raising=False)
+    known = np.flatnonzero(~np.isnan(x))
+    want = np.interp(np.arange(n), known, x[known])
+    for share in (1, 2):
+        m = n // share
+        data = timeops.TimeData(df.where(f"sample < {m}"), (Recording("s", "m", 1.0, m, "2020-01-01 00:00:00", ("Hx",)),))
+        done = timeops.InterpolateNans(block=50).run(data)
+        plan = done.df._jdf.queryExecution().executedPlan().toString()
+        assert f", {m // 100}), REPARTITION_BY_NUM" in plan
+        assert "Window" not in plan.split("REPARTITION_BY_NUM")[0]
+        if share == 1:
+            got = done.df.orderBy("sample").toPandas()["value"].to_numpy()
+            assert len(got) == n and np.abs(got - want).max() < 1e-12
