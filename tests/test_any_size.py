@@ -99,3 +99,17 @@ def test_rows_of_a_task_stay_bounded_when_gaps_are_filled(spark, monkeypatch):
         if share == 1:
             got = done.df.orderBy("sample").toPandas()["value"].to_numpy()
             assert len(got) == n and np.abs(got - want).max() < 1e-12
+
+
+def test_shift_by_blocks(spark, monkeypatch):
+    """No sample is summed in a table of all samples; pairs over the blocks' edges count, those over a hole do not."""
+    n = 1000
+    x = np.random.default_rng(7).normal(size=n)
+    held = [i for i in range(n) if i != 450]
+    df = spark.createDataFrame([("s", "m", 0, "Hx", i, float(x[i])) for i in held], "site string, meas string, level int, chan string, sample long, value double")
+    monkeypatch.setattr(timeops, "BLOCK", 64)
+    done = timeops.ShiftTimestamps(0.25).run(timeops.TimeData(df, (Recording("s", "m", 1.0, n, "2020-01-01 00:00:00", ("Hx",)),)))
+    got = {r["sample"]: r["value"] for r in done.df.collect()}
+    assert sorted(got) == [i for i in range(n - 1) if i not in (449, 450)]
+    assert all(abs(v - (0.75 * x[i] + 0.25 * x[i + 1])) < 1e-12 for i, v in got.items())
+    assert "Aggregate" not in done.df._jdf.queryExecution().executedPlan().toString()
