@@ -24,7 +24,7 @@ from tellura.functions.timing import exact
 from tellura.operators.params import Recording, downsample_steps
 
 #: Samples of a block, and samples of a channel that one task filters as a whole.
-BLOCK, WHOLE = 1 << 17, 1 << 24
+BLOCK, WHOLE = 1 << 17, 1 << 20
 #: Rows that a task which works by blocks gets on average.
 TASK_ROWS = 1 << 18
 

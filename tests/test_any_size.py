@@ -113,3 +113,16 @@ def test_shift_by_blocks(spark, monkeypatch):
     assert sorted(got) == [i for i in range(n - 1) if i not in (449, 450)]
     assert all(abs(v - (0.75 * x[i] + 0.25 * x[i + 1])) < 1e-12 for i, v in got.items())
     assert "Aggregate" not in done.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decimation_by_blocks(spark, monkeypatch):
+    """Recordings of millions of samples are not one task's; blocks give what the whole channel does."""
+    n = 20_000
+    x = np.random.default_rng(8).normal(size=n)
+    df = spark.createDataFrame([("s", "m", 0, "Hx", i, float(v)) for i, v in enumerate(x)], "site string, meas string, level int, chan string, sample long, value double")
+    plan = timeops.Decimate(3).run(timeops.TimeData(df, (Recording("s", "m", 1.0, 9_000_000, "2020-01-01 00:00:00", ("Hx",)),))).df._jdf.queryExecution().executedPlan().toString()
+    assert "_block" in plan
+    monkeypatch.setattr(timeops, "BLOCK", 1024)
+    got = timeops.Decimate(6, whole=1000).run(timeops.TimeData(df, (Recording("s", "m", 1.0, n, "2020-01-01 00:00:00", ("Hx",)),))).df.orderBy("sample").toPandas()["value"].to_numpy()
+    want = kernels.decimate_step(kernels.decimate_step(x, 2), 3)
+    assert len(got) == len(want) and min(np.abs(got - w).max() for w in (want, kernels.decimate_step(kernels.decimate_step(x, 3), 2))) < 1e-9
