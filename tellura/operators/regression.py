@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellura.functions import solvers
@@ -31,6 +31,12 @@ def _power(a: str, b: str) -> tuple[Column, Column]:
     return ar * br + ai * bi, ai * br - ar * bi
 
 
+def robust_scaled(value: str, *keys: str) -> Column:
+    """``solvers.robust_scale`` of the rows of each group by ``keys``, as a column: many small groups need no task's call each."""
+    q = F.percentile(value, [0.25, 0.5, 0.75]).over(Window.partitionBy(*keys))
+    return (F.col(value) - q[1]) / F.when(q[2] > q[0], q[2] - q[0]).otherwise(1.0)
+
+
 def cross_powers(gathered: DataFrame, tf: TransferFunction) -> DataFrame:
     """(eval_idx, global_win, cross_chan, out ARRAY<(chan, re, im)>, in ARRAY<(chan, re, im)>): powers with the conjugate cross channel."""
     def powers(role: str, chans: tuple[str, ...], cross: str) -> Column:

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellura.functions import channels, solvers, timing
+from tellura.functions import channels, timing
 from tellura.functions.frames import shared_dir
 from tellura.operators import gather, params, regression, timeops
 from tellura.operators.calibration import SensorCalibrator
@@ -80,12 +80,8 @@ def time_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, round((o_totalprice - q[2]) / CASE WHEN q[3] > q[1] THEN q[3] - q[1] ELSE 1 END, 6) AS scaled FROM orders JOIN q ON o_custkey = k""")
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of each customer's orders less their median, over their interquartile range."""
-
-    def scale(rows):
-        return rows.assign(scaled=solvers.robust_scale(rows["value"].to_numpy()))[["o_orderkey", "scaled"]]
-
-    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("value"))
-    return rounded(orders.groupBy("o_custkey").applyInPandas(scale, "o_orderkey long, scaled double"), "scaled")
+    orders = tables.table(spark, sf_dir, "orders").where("o_custkey is not null").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("value"))
+    return rounded(orders.select("o_orderkey", regression.robust_scaled("value", "o_custkey").alias("scaled")), "scaled")
 
 
 # --- more than one level ---------------------------------------------------

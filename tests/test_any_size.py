@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tellura.functions import kernels, solvers
-from tellura.operators import timeops
+from tellura.operators import regression, timeops
 from tellura.operators.timeops import Recording
+from tellura.plans import catalog_files
 from tellura.sources.ascii import numbered_lines
 
 
@@ -126,3 +127,15 @@ def test_decimation_by_blocks(spark, monkeypatch):
     got = timeops.Decimate(6, whole=1000).run(timeops.TimeData(df, (Recording("s", "m", 1.0, n, "2020-01-01 00:00:00", ("Hx",)),))).df.orderBy("sample").toPandas()["value"].to_numpy()
     want = kernels.decimate_step(kernels.decimate_step(x, 2), 3)
     assert len(got) == len(want) and min(np.abs(got - w).max() for w in (want, kernels.decimate_step(kernels.decimate_step(x, 3), 2))) < 1e-9
+
+
+def test_robust_scale_of_many_groups(spark):
+    """As the solvers scale residuals, without a call of Python for each group."""
+    rng = np.random.default_rng(9)
+    held = {k: rng.normal(size=k % 9 + 1).round(1) for k in range(60)} | {60: np.ones(5)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in held.items() for i, v in enumerate(x)], "k long, i long, value double")
+    got = {(r["k"], r["i"]): r["scaled"] for r in df.select("k", "i", regression.robust_scaled("value", "k").alias("scaled")).collect()}
+    for k, x in held.items():
+        assert np.allclose([got[k, i] for i in range(len(x))], solvers.robust_scale(x), rtol=1e-12, atol=1e-12), k
+    plan = catalog_files.robust_scale(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
