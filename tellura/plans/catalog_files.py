@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import shutil
 import uuid
 from dataclasses import replace
 from datetime import timedelta
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellura.functions import channels, timing
-from tellura.functions.frames import shared_dir
+from tellura.functions.frames import shared_dir, written
 from tellura.operators import gather, params, regression, timeops
 from tellura.operators.calibration import SensorCalibrator
 from tellura.operators.params import Recording
@@ -22,7 +23,7 @@ from tellura.operators.transfer import Solution
 from tellura.plans import catalog, pipeline, project, tables
 from tellura.plans.config import Configuration
 from tellura.plans.registry import query, r6, rounded
-from tellura.sources.ascii import numbered_lines
+from tellura.sources.ascii import numbered_lines, write_parts
 from tellura.sources.calibration import SensorCalibrationJSON, SensorCalibrationTXT
 from tellura.sources.stages import read_metadata, read_stage, write_stage
 from tellura.sources.store import ChanMetadata, TimeMetadata, TimeReaderAscii, TimeReaderNumpy, TimeWriterAscii, TimeWriterNumpy, dir_files, read_table, write_table
@@ -130,13 +131,18 @@ def store_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels written as text, put side by side in one file with two lines of header, and read again in single precision from sample 7 on."""
     data, folder = tables.line_clean(spark, sf_dir), _folder(spark, "text")
+    data = replace(data, df=written(data.df, "clean"))  # two passes over it
     meta = _metadata(data.recordings[0])
     TimeWriterAscii().run(folder / "out", meta, data)
-    wide = data.df.groupBy("sample").pivot("chan", list(meta.chans)).agg(F.first("value"))
-    line = F.concat_ws(" ", *[F.format_string("%.6f", F.col(c)) for c in meta.chans])
-    head = spark.createDataFrame([(-2, "a header"), (-1, " ".join(meta.chans))], "sample long, value string")
-    head.unionByName(wide.select("sample", line.alias("value"))).orderBy("sample").coalesce(1).select("value").write.text(str(folder / "parts"))
-    name = next(p.name for p in dir_files(folder / "parts") if p.suffix == ".txt")
+    lines, name = folder / "lines", "all.txt"
+    for path in (lines, folder / "parts"):
+        os.makedirs(path)
+    write_parts(data.df, {str(lines.absolute()): meta.chans}, meta.n_samples * len(meta.chans))
+    with open(folder / "parts" / name, "wb") as file:
+        file.write(f"a header\n{' '.join(meta.chans)}\n".encode())
+        for part in dir_files(lines):
+            with open(part, "rb") as text:
+                shutil.copyfileobj(text, file, 1 << 20)
     told = replace(meta, chans_metadata={c: ChanMetadata(c, (name,)) for c in meta.chans})
     (folder / "parts/metadata.json").write_text(told.to_json())
     again = TimeReaderAscii(n_header=2).run(spark, folder / "parts", "line", "all", from_sample=7)

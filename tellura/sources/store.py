@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from pathlib import Path
@@ -18,7 +19,7 @@ from tellura.functions import channels, timing
 from tellura.functions.history import Process, record
 from tellura.operators.params import Recording
 from tellura.operators.timeops import TimeData
-from tellura.sources.ascii import read_ascii
+from tellura.sources.ascii import read_ascii, write_parts
 from tellura.sources.npy import NpySource
 
 UNKNOWN = -999.0  # the fixed value of a location that is not known
@@ -275,15 +276,17 @@ class TimeWriterNumpy(Process):
 
 @dataclass(frozen=True)
 class TimeWriterAscii(Process):
-    """A folder ``<chan>.ascii`` of text parts for each channel, a value with six decimals a line, in order."""
+    """A folder ``<chan>.ascii`` of text parts for each channel, a value with six decimals a line, in order; one pass for all channels, on a folder that all executors share."""
 
     overwrite: bool = True
 
     def run(self, path: str | Path, meta: TimeMetadata, data: TimeData) -> None:
         folder = target(path, self.overwrite)
-        for chan in meta.chans:
-            lines = data.df.where(F.col("chan") == chan).orderBy("sample").select(F.format_string("%.6f", F.col("value")).alias("value"))
-            lines.write.mode("overwrite").text(str(folder / f"{chan}.ascii"))
+        parts = {str(Path(folder / f"{c}.ascii").absolute()): (c,) for c in meta.chans}
+        for part in parts:
+            shutil.rmtree(part, ignore_errors=True)
+            os.makedirs(part)
+        write_parts(data.df, parts, sum(r.n_samples * len(r.chans) for r in data.recordings))
         (folder / "metadata.json").write_text(meta.to_json())
 
 

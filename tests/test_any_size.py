@@ -7,7 +7,7 @@ from tellura.functions import kernels, solvers
 from tellura.operators import regression, timeops
 from tellura.operators.timeops import Recording
 from tellura.plans import catalog_files
-from tellura.sources.ascii import numbered_lines
+from tellura.sources.ascii import numbered_lines, write_parts
 
 
 def test_narrow_notch_by_blocks(spark, monkeypatch):
@@ -139,3 +139,26 @@ def test_robust_scale_of_many_groups(spark):
         assert np.allclose([got[k, i] for i in range(len(x))], solvers.robust_scale(x), rtol=1e-12, atol=1e-12), k
     plan = catalog_files.robust_scale(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_text_parts_of_all_channels_in_one_pass(spark, tmp_path):
+    """A part of each folder for each range of samples; holes and gaps keep to their lines; each row is computed once."""
+    n, seen = 1000, spark.sparkContext.accumulator(0)
+    rows = [("s", "m", 0, c, i, float("nan") if i == 7 else i + k / 8) for k, c in enumerate(("Ex", "Hx")) for i in range(n) if (c, i) != ("Hx", 500)]
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "site string, meas string, level int, chan string, sample long, value double")
+    df = df.mapInArrow(count, df.schema)
+    folders = {str(tmp_path / name): chans for name, chans in (("Ex", ("Ex",)), ("Hx", ("Hx",)), ("both", ("Ex", "Hx")))}
+    for f in folders:
+        (tmp_path / f).mkdir()
+    write_parts(df, folders, len(rows), block=64)
+    assert seen.value == len(rows)
+    text = {name: [r["text"] for r in numbered_lines(spark, str(tmp_path / name)).orderBy("line").collect()] for name in ("Ex", "Hx", "both")}
+    assert text["Ex"] == ["NaN" if i == 7 else f"{i:.6f}" for i in range(n)]
+    assert text["Hx"] == ["NaN" if i == 7 else f"{i + 0.125:.6f}" for i in range(n) if i != 500]
+    assert text["both"][7:9] == ["NaN NaN", "8.000000 8.125000"] and text["both"][500] == "500.000000 NaN" and len(text["both"]) == n
