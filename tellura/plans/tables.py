@@ -21,6 +21,8 @@ CHANS = ("Ex", "Ey", "Hx", "Hy", "Hz")
 HOURS = {"click": "Hx", "error": "Hy", "purchase": "Hz", "signup": "Ex", "view": "Ey"}
 SETUP = DecimationSetup(n_levels=1, per_level=5)
 EVENT_FS = 1 / 3600
+#: Rows of orders and lines that a task which takes their means gets on average.
+TASK_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line(spark: SparkSession, sf_dir: str) -> TimeData:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    """Rows are dealt by order before any mean is taken: partial means of a split would hold an entry for each order the split has a line of."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n_orders = orders.count()
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-(n_orders + lines.count()) // TASK_ROWS))
+    means = lines.select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").repartition(n_parts, "l_orderkey").groupBy("l_orderkey").agg(
         F.avg("l_quantity").alias("Ex"), (F.avg("l_extendedprice") / 977).alias("Ey"), (F.avg("l_discount") * 100).alias("Hx"), (F.avg("l_tax") * 100).alias("Hy")
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 9973).alias("Hz"))
-    wide = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    totals = orders.select("o_orderkey", (F.col("o_totalprice") / 9973).alias("Hz")).repartition(n_parts, "o_orderkey")
+    wide = totals.join(means, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     chans = F.array(*[F.struct(F.lit(c).alias("chan"), F.coalesce(F.col(c), F.lit(float("nan"))).alias("value")) for c in CHANS])
     df = wide.select(F.lit("line").alias("site"), F.lit("all").alias("meas"), F.lit(0).alias("level"), F.explode(chans).alias("c"), F.col("o_orderkey").alias("sample"))
     df = df.select("site", "meas", "level", "c.chan", "sample", "c.value")
-    return TimeData(df, (Recording("line", "all", FS, orders.count(), FIRST, CHANS),))
+    return TimeData(df, (Recording("line", "all", FS, n_orders, FIRST, CHANS),))
 
 
 def line_clean(spark: SparkSession, sf_dir: str) -> TimeData:

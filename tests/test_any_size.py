@@ -1,12 +1,13 @@
 """What is done differently with large inputs gives the same results."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from tellura.functions import kernels, solvers
 from tellura.operators import regression, timeops
 from tellura.operators.timeops import Recording
-from tellura.plans import catalog_files
+from tellura.plans import catalog, catalog_files, tables
 from tellura.sources.ascii import numbered_lines, write_parts
 
 
@@ -162,3 +163,24 @@ def test_text_parts_of_all_channels_in_one_pass(spark, tmp_path):
     assert text["Ex"] == ["NaN" if i == 7 else f"{i:.6f}" for i in range(n)]
     assert text["Hx"] == ["NaN" if i == 7 else f"{i + 0.125:.6f}" for i in range(n) if i != 500]
     assert text["both"][7:9] == ["NaN NaN", "8.000000 8.125000"] and text["both"][500] == "500.000000 NaN" and len(text["both"]) == n
+
+
+def test_lines_are_dealt_by_order_before_their_means(spark, monkeypatch):
+    """No task holds an entry for each order of a split of lineitem: twice the rows are twice the tasks, with the orders' in the same ones."""
+    sf = "/root/testdata/sf0.001"
+    counts = [duckdb.sql(f"SELECT count(*) FROM '{sf}/{t}.parquet'").fetchall()[0][0] for t in ("orders", "lineitem")]
+    for rows in (1000, 500):
+        monkeypatch.setattr(tables, "TASK_ROWS", rows, raising=False)
+        data = tables.line(spark, sf)
+        plan = data.df._jdf.queryExecution().executedPlan().toString()
+        n_parts = -(-sum(counts) // rows)
+        dealt = [next((x for x in plan.split("Exchange ") if x.startswith(f"hashpartitioning({key}")), "") for key in ("o_orderkey", "l_orderkey")]
+        assert all(f", {n_parts}), REPARTITION_BY_NUM" in x for x in dealt)
+        assert "FileScan" in dealt[1] and "Aggregate" not in dealt[1]
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.sql(f"WITH {catalog._LINE} SELECT chan, sample, value FROM s").fetchall()
+    got = {(r["chan"], r["sample"]): r["value"] for r in data.df.collect()}
+    assert len(got) == len(want) == 5 * counts[0]
+    assert all(np.isnan(got[c, i]) if v is None else abs(got[c, i] - v) < 1e-9 for c, i, v in want)
